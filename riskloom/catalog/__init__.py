@@ -1,6 +1,6 @@
 """All registered queries and their oracles."""
 
-from riskloom.catalog import cleaning, evaluation, features, resampling  # noqa: F401
+from riskloom.catalog import cleaning, evaluation, features, modeling, resampling  # noqa: F401
 from riskloom.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

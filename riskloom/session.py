@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +51,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/fitted-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_jobs(tasks: Mapping[object, Callable[[], object]], workers: int = 4) -> dict:
+    """Run independent fits as concurrent Spark jobs; results by task key."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        futures = {k: pool.submit(inherit(fn)) for k, fn in tasks.items()}
+        return {k: f.result() for k, f in futures.items()}

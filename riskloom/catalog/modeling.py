@@ -176,10 +176,19 @@ def importance_from_training(spark, sf):
     return report.importance
 
 
+_FITTED: dict[tuple[str, str], FittedState] = {}
+
+
 def _state(spark, sf) -> FittedState:
-    """A plan and a stack fitted on the transactions."""
+    """A plan and a stack fitted on the transactions, once per application and data folder.
+
+    Training once and scoring often is how the state is used.
+    """
     from riskloom.catalog.cleaning import joined
 
+    run = (spark.sparkContext.applicationId, sf)
+    if run in _FITTED:
+        return _FITTED[run]
     rows = joined(spark, sf)
     plan = FeaturePlan.fit(rows, PlanOptions())
     features = plan.transform(rows, [LABEL]).persist()
@@ -187,7 +196,8 @@ def _state(spark, sf) -> FittedState:
         stack = train_stack(features, plan.features, KEY, LABEL, size="small", k=2, base_models=("xgb",)).model
     finally:
         features.unpersist()
-    return FittedState(plan, stack)
+    _FITTED[run] = FittedState(plan, stack)
+    return _FITTED[run]
 
 
 @query("score_batch")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,10 +110,10 @@ def _inline_maps(table: DataFrame, column: str) -> dict[str, list[tuple[str, int
 
 
 def _from_map(pairs: list[tuple[str, int]] | None, key: Column, type_name: str) -> Column:
+    """A bounded lookup inside the expression; the JSON text is folded into a map literal."""
     if not pairs:
         return F.lit(None).cast(type_name)
-    entries = [F.lit(x).cast(t) for k, v in pairs for x, t in ((k, "string"), (v, type_name))]
-    return F.create_map(*entries)[key]
+    return F.from_json(F.lit(json.dumps(dict(pairs))), f"map<string,{type_name}>")[key]
 
 
 @dataclass
@@ -121,6 +123,17 @@ class StandardScaler:
     mean: dict[str, float]
     std: dict[str, float]
 
+    @classmethod
+    def fit_complete(cls, df: DataFrame, columns: list[str]) -> StandardScaler:
+        """Fit on columns without missing values: one vector aggregate for all of them."""
+        vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(df.select(*columns))
+        row = vectors.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+        n = row["count"]
+        population = (n - 1) / n if n > 1 else 1.0
+        mean = {c: float(m) for c, m in zip(columns, row["mean"], strict=True)}
+        std = {c: float(v * population) ** 0.5 or 1.0 for c, v in zip(columns, row["variance"], strict=True)}
+        return cls(mean, std)
+
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str] | None = None) -> StandardScaler:
         columns = columns or numeric_columns(df)

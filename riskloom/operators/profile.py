@@ -110,75 +110,59 @@ def exact_medians(
     """
     columns = columns or numeric_columns(df)
     values = df.select(*[finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
-    row = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[
-            F.percentile_approx(f"v{i}", F.array(*_around(0.5, accuracy)), accuracy).alias(f"b{i}")
-            for i in range(len(columns))
-        ],
-    ).first()
-    result: dict[str, float | None] = {}
-    state: dict[int, tuple[float, float, int, int]] = {}
-    low_rank, high_rank = {}, {}
-    for i, name in enumerate(columns):
-        n = row[f"n{i}"]
-        if n == 0:
-            result[name] = None
-            continue
-        low_rank[i], high_rank[i] = (n + 1) // 2, n // 2 + 1
-        state[i] = (*row[f"b{i}"], 0, n)
-
-    inside: list[int] = []
-    while state:
+    sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first() if columns else []
+    result: dict[str, float | None] = {c: None for i, c in enumerate(columns) if sizes[i] == 0}
+    ranks = {i: ((n + 1) // 2, n // 2 + 1) for i, n in enumerate(sizes) if n}
+    # Per open column the range known to hold both middle ranks: limits, values below it, values up to its end.
+    ranges = {i: (float("-inf"), float("inf"), 0, sizes[i]) for i in ranks}
+    slack = 2.0
+    final: dict[int, tuple[float, float, int, int]] = {}
+    while ranges:
+        brackets = _sketch(values, ranges, ranks, accuracy, slack)
         counts = values.agg(
-            *[F.count_if(F.col(f"v{i}") < F.lit(s[0])).alias(f"below{i}") for i, s in state.items()],
-            *[F.count_if(F.col(f"v{i}") <= F.lit(s[1])).alias(f"upto{i}") for i, s in state.items()],
+            *[F.count_if(F.col(f"v{i}") < F.lit(low)).alias(f"below{i}") for i, (low, _) in brackets.items()],
+            *[F.count_if(F.col(f"v{i}") <= F.lit(high)).alias(f"upto{i}") for i, (_, high) in brackets.items()],
         ).first()
-        refine: dict[int, tuple[float, float, int, int]] = {}
-        for i, (low, high, _, _) in state.items():
+        missed = False
+        for i, (low, high) in brackets.items():
             below, upto = counts[f"below{i}"], counts[f"upto{i}"]
-            if not below < low_rank[i] <= high_rank[i] <= upto:
-                # The sketch missed (possible only at its error bound): take a whole half-line.
-                low = low if below < low_rank[i] else float("-inf")
-                high = high if upto >= high_rank[i] else float("inf")
-                below = below if below < low_rank[i] else 0
-                upto = upto if upto >= high_rank[i] else row[f"n{i}"]
-                refine[i] = (low, high, below, upto)
+            outer = ranges[i][3] - ranges[i][2]
+            if not below < ranks[i][0] <= ranks[i][1] <= upto:
+                missed = True  # possible at the sketch's error bound: look again with more room
+                if 2 * slack >= accuracy:
+                    final[i] = ranges.pop(i)
             elif low == high:
                 result[columns[i]] = float(low)
-            elif upto - below > max_inside:
-                refine[i] = (low, high, below, upto)
+                del ranges[i]
+            elif upto - below <= max_inside or upto - below > 0.9 * outer:
+                final[i] = (low, high, below, upto)
+                del ranges[i]
             else:
-                state[i] = (low, high, below, upto)
-                inside.append(i)
-        final = {i: state[i] for i in inside if columns[i] not in result}
-        result.update(_select_inside(values, columns, final, low_rank, high_rank))
-        inside = []
-        state = _narrow(values, refine, low_rank, accuracy)
+                ranges[i] = (low, high, below, upto)
+        slack = slack * 4 if missed else slack
+    result.update(_select_inside(values, columns, final, ranks))
     return result
 
 
-def _around(p: float, accuracy: int) -> list:
-    return [F.lit(max(0.0, p - 2.0 / accuracy)), F.lit(min(1.0, p + 2.0 / accuracy))]
-
-
-def _narrow(values, refine, low_rank, accuracy):
-    if not refine:
-        return {}
-    row = values.agg(
+def _sketch(values, ranges, ranks, accuracy, slack) -> dict[int, tuple[float, float]]:
+    """Approximate quantiles a little to each side of the middle, inside each range."""
+    found = values.agg(
         *[
             F.percentile_approx(
                 F.when(F.col(f"v{i}").between(F.lit(low), F.lit(high)), F.col(f"v{i}")),
-                F.array(*_around((low_rank[i] - below) / (upto - below), accuracy)),
+                [
+                    max(0.0, (ranks[i][0] - below) / (upto - below) - slack / accuracy),
+                    min(1.0, (ranks[i][1] - below) / (upto - below) + slack / accuracy),
+                ],
                 accuracy,
             ).alias(f"b{i}")
-            for i, (low, high, below, upto) in refine.items()
+            for i, (low, high, below, upto) in ranges.items()
         ]
     ).first()
-    return {i: (*row[f"b{i}"], below, upto) for i, (_, _, below, upto) in refine.items()}
+    return {i: tuple(found[f"b{i}"]) for i in ranges}
 
 
-def _select_inside(values, columns, final, low_rank, high_rank) -> dict[str, float]:
+def _select_inside(values, columns, final, ranks) -> dict[str, float]:
     if not final:
         return {}
     spark = values.sparkSession
@@ -191,8 +175,8 @@ def _select_inside(values, columns, final, low_rank, high_rank) -> dict[str, flo
             for i, (low, high, _, _) in final.items()
         ]
     )
-    ranks = spark.createDataFrame(
-        [(i, s[2], low_rank[i], high_rank[i]) for i, s in final.items()], "i int, below long, k1 long, k2 long"
+    wanted = spark.createDataFrame(
+        [(i, s[2], *ranks[i]) for i, s in final.items()], "i int, below long, k1 long, k2 long"
     )
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
     picked = (
@@ -200,7 +184,7 @@ def _select_inside(values, columns, final, low_rank, high_rank) -> dict[str, flo
         .groupBy("c.i", "c.v")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto_inside", upto)
-        .join(F.broadcast(ranks), "i")
+        .join(F.broadcast(wanted), "i")
         .withColumn("last", F.col("below") + F.col("upto_inside"))
         .withColumn("first", F.col("last") - F.col("n") + 1)
         .groupBy("i")

@@ -157,8 +157,8 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 
 def evaluate(df: DataFrame, label: str, predicted: str, score: str) -> DataFrame:
     """All scalar metrics as one row."""
-    return model_metrics(df.select(F.lit("model").alias("model"), F.col(label).alias("label"),
-                                   F.col(score).alias("p"), F.col(predicted).alias("pred"))).drop("model")
+    parts = areas(df, label, score).unionByName(threshold_metrics(df, label, predicted), allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def model_metrics(long: DataFrame) -> DataFrame:

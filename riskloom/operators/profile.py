@@ -77,7 +77,10 @@ def _maybe_narrow(df: DataFrame, columns: list[str], limit: int) -> list[str]:
 def narrow_frequencies(df: DataFrame, columns: list[str] | None = None, limit: int = 50) -> DataFrame:
     """``feature, value, n`` of the columns with fewer than ``limit`` distinct values."""
     columns = columns or list(df.columns)
-    counts = value_frequencies(df, _maybe_narrow(df, columns, limit) or columns[:1])
+    maybe = _maybe_narrow(df, columns, limit)
+    if not maybe:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n long")
+    counts = value_frequencies(df, maybe)
     kept = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")).where(F.col("n_distinct") < limit)
     return counts.join(F.broadcast(kept.select("feature")), "feature", "left_semi")
 
@@ -90,8 +93,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, limit: int
     columns = columns or list(df.columns)
     maybe = _maybe_narrow(df, columns, limit)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    if not maybe:
+        return names.select("feature", F.lit(None).cast("long").alias("n_distinct"), F.lit(False).alias("categorical"))
     counted = (
-        value_frequencies(df, maybe or columns[:1])
+        value_frequencies(df, maybe)
         .groupBy("feature")
         .agg(F.count(F.lit(1)).alias("n_distinct"))
         .where(F.col("n_distinct") < limit)

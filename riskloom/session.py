@@ -31,10 +31,12 @@ def get_session(app: str = "riskloom", master: str | None = None, **conf: str) -
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    A local session that names none (tests) gets a temporary one; a cluster must name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

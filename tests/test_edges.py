@@ -188,3 +188,10 @@ def test_scaling(spark):
     for scaler in (encode.StandardScaler.fit(df), encode.StandardScaler.fit_complete(df, ["a", "b"])):
         assert sorted(tuple(r) for r in scaler.transform(df).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
     assert sorted(tuple(r) for r in encode.MinMaxScaler.fit(df).transform(df).collect()) == [(0.0, 0.0), (1.0, 0.0)]
+
+
+def test_no_narrow_column(spark):
+    df = spark.range(500)
+    assert profile.narrow_frequencies(df, ["id"], 50).count() == 0
+    assert tuple(profile.distinct_counts(df, ["id"], 50).first()) == ("id", None, False)
+    assert encode.FrequencyEncoder.fit(df, ["id"]).transform(df).columns == ["id"]

@@ -9,6 +9,7 @@ do. The integrand is a polynomial, so Gauss-Legendre nodes integrate it exactly.
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 from collections.abc import Iterator
@@ -200,16 +201,16 @@ def permutation_attribution(
     from riskloom.operators.sampling import sample_rows
 
     d = len(features)
-    reference = [
+    given = [
         [float(v) for v in r] for r in sample_rows(background, key, background_rows, seed).select(*features).collect()
     ]
-    pool = F.array(*[F.array(*[F.lit(v) for v in r]) for r in reference])
+    pool = F.from_json(F.lit(json.dumps(given)), "array<array<double>>")  # folded into a literal
     drawn = df.select(
         F.col(key).alias("k"),
         F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
         F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"),
     )
-    chosen = F.get(pool, F.pmod(F.xxhash64("k", "draw", F.lit(seed)), F.lit(len(reference))).cast("int"))
+    chosen = F.get(pool, F.pmod(F.xxhash64("k", "draw", F.lit(seed)), F.lit(len(given))).cast("int"))
     order = F.transform(
         F.array_sort(
             F.array(*[F.struct(F.xxhash64("k", "draw", F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("i")) for i in range(d)])

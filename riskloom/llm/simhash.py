@@ -104,9 +104,12 @@ class GrayIndex:
             group = group[first]
             self.levels.append((first, size, conj, disj, group))
 
-    def components(self, bits: int) -> np.ndarray:
+    def components(self, bits: int, known: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
         """Label of each fingerprint (in index order): linked ones share it.
 
+        ``known`` are labels found before. ``pairs`` collects the pairs that joined
+        labels, at most 200,000 beyond a joining of all that share one.
+
         Differences add up on the bits two nodes fix. Too many rule the pair out;
         so few that even all free bits keep the bound link it whole; and two nodes
         already in one component need no look.
@@ -114,8 +117,10 @@ class GrayIndex:
         n = len(self.fps)
         near = np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= bits
         near &= self.keys[1:] == self.keys[:-1]
-        label = np.cumsum(np.r_[0, ~near]).astype(np.int64)
-        label = np.flatnonzero(np.r_[True, ~near])[label] if n else label
+        near = np.flatnonzero(near)
+        label = settle(n, near, near + 1, np.arange(n) if known is None else known)
+        if pairs is not None:
+            pairs.append((near, near + 1))
         top = len(self.levels) - 1
         if top <= 0:
             return label
@@ -140,21 +145,17 @@ class GrayIndex:
             free = np.bitwise_count(~shared)
             whole = apart.astype(np.int64) + free <= bits
             start, stop = spans[level]
-            for x, y in ((a[whole], b[whole]),):
-                if len(x):
-                    found_a.append(start[x])
-                    found_b.append(start[y])
-                    inner = np.unique(np.r_[x, y])
-                    length = stop[inner] - start[inner]
-                    into = np.repeat(start[inner], length)
-                    found_a.append(into)
-                    found_b.append(into + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
-                    held += len(into) + len(x)
+            if whole.any():
+                x, y = a[whole], b[whole]
+                inner = np.unique(np.r_[x, y])
+                length = stop[inner] - start[inner]
+                into = np.repeat(start[inner], length)
+                found_a += [start[x], into]
+                found_b += [start[y], into + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
+                held += len(into) + len(x)
             deeper = (apart <= bits) & ~whole
             a, b = a[deeper], b[deeper]
-            if level == 0 or not len(a):
-                pass
-            else:
+            if level and len(a):
                 first, size, *_ = self.levels[level]
                 i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
                 ok = (i[None] < size[a][:, None]) & (j[None] < size[b][:, None])
@@ -163,13 +164,41 @@ class GrayIndex:
                 if level == 1:
                     ca, cb = ca[ca != cb], cb[ca != cb]
                 stack.append((level - 1, ca, cb))
-            if held > 200_000:
-                label = settle(n, np.concatenate(found_a), np.concatenate(found_b), label)
+            if found_a and (held > 200_000 or not stack):
+                at, to = np.concatenate(found_a), np.concatenate(found_b)
+                if pairs is not None:
+                    pairs.append((at, to))
+                label = settle(n, at, to, label)
                 found_a, found_b, held = [], [], 0
-        if found_a:
-            label = settle(n, np.concatenate(found_a), np.concatenate(found_b), label)
         return label
 
+    def forest(self, bits: int, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs that connect each component, closer pairs before farther ones."""
+        n = len(self.fps)
+        label, tree = np.arange(n), []
+        for limit in range(bits % step, bits + 1, step):
+            pairs: list = []
+            after = self.components(limit, label, pairs)
+            at, to = (np.concatenate(side) for side in zip(*pairs))
+            new = label[at] != label[to]
+            at, to = at[new], to[new]
+            root = dict(zip(label[at].tolist(), label[at].tolist())) | dict(zip(label[to].tolist(), label[to].tolist()))
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            near = np.argsort(np.bitwise_count(self.fps[at] ^ self.fps[to]), kind="stable")
+            for x, y in zip(at[near].tolist(), to[near].tolist()):
+                u, v = top(int(label[x])), top(int(label[y]))
+                if u != v:
+                    root[u] = v
+                    tree.append((x, y))
+            label = after
+        found = np.array(tree, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
     def _spans(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and one past the last fingerprint below each node, by level."""
         start = np.arange(len(self.fps))
@@ -237,19 +266,7 @@ def links(fps: DataFrame, bits: int = 3, split_rows: int = 4096, depth: int = 2)
         )
     rows = keyed.select("fp", "key") if done is None else done.union(keyed.select("fp", "key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        index = GrayIndex(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64))
-        label = index.components(bits)
-        held = label != np.arange(len(label))
-        fp = index.fps.view(np.int64)
-        for start in range(0, int(held.sum()), 100_000):
-            at = np.flatnonzero(held)[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["a", "b"])
-
-    return rows.repartition("key").mapInArrow(run, "a long, b long")
+    return index_links(rows, bits)
 
 
 def _free_bits(used: int, levels: int, bits: int) -> list[int]:
@@ -290,3 +307,131 @@ def simhash_groups(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """
     grouped = near_groups(materialise(fingerprints(docs, width)), bits)
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Of the pipeline's near-duplicate groups: min-wise bands, values in each, and words in a shingle.
+BANDS, BAND_ROWS, SHINGLE = 12, 4, 5
+
+
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the distinct five-word shingles of a text; fewer words make one."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    mixed = np.full(n, len(words) if len(words) < SHINGLE else SHINGLE, np.uint64)
+    for j in range(min(SHINGLE, len(words))):
+        mixed = (mixed ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def band_keys(mixed: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of shingle hashes.
+
+    A key joins ``BAND_ROWS`` min-wise hashes. Sets of similarity 0.8 share a key with
+    probability 0.998; at 0.4 it is 0.27.
+    """
+    draw = np.random.default_rng(5)
+    factor = draw.integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(mixed), 4096):
+        part = mixed[start : start + 4096, None] * factor[None]
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, part.min(axis=0), out=least)
+    keys = np.zeros(BANDS, np.uint64)
+    for j, column in enumerate(least.reshape(BANDS, BAND_ROWS).T):
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
+    return (keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``fp`` and ``keys`` of every row."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t.as_py() or "" for t in batch.column(2)]
+        prints = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
+        keys = pa.array([band_keys(shingles(t)) for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array(prints.view(np.int64)), keys], ["doc_id", "text_hash", "fp", "keys"]
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_rows(rows, run, "doc_id long, text_hash long, fp long, keys array<bigint>")
+
+
+def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
+    """Edges that connect the fingerprints of each ``key`` of ``rows`` ``bits`` or fewer apart.
+
+    ``closest`` returns linked pairs, the closer ones first choice; otherwise each
+    fingerprint comes with the first of its component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        index = GrayIndex(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64))
+        if closest:
+            at, to = index.forest(bits)
+        else:
+            to = index.components(bits)
+            at = np.flatnonzero(to != np.arange(len(to)))
+            to = to[at]
+        fp = index.fps.view(np.int64)
+        for start in range(0, len(at), 100_000):
+            part = slice(start, start + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at[part]]), pa.array(fp[to[part]])], ["a", "b"])
+
+    return rows.select("key", "fp").repartition("key").mapInArrow(run, "a long, b long")
+
+
+def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """Those of ``edges`` whose texts' shingle sets have a similarity of ``least`` or more.
+
+    ``named`` gives each fingerprint the id and text hash of one of its documents.
+    Only documents on an edge have their shingles worked out.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = pa.array([shingles(t.as_py() or "").view(np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["doc_id", "text_hash", "set"])
+
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+    wanted = materialise(ends.join(named, "fp").select("fp", "who.doc_id", "who.text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.withColumn("key", F.struct("doc_id", "text_hash"))
+    keys = wanted.select(F.struct("doc_id", "text_hash").alias("key"))
+    texts = rows.join(keys, "key", "left_semi").select("doc_id", "text_hash", "text")
+    sets = map_rows(texts, run, "doc_id long, text_hash long, set array<bigint>")
+    sets = sets.select(F.struct("doc_id", "text_hash").alias("key"), "set")
+    by_print = wanted.select("fp", F.struct("doc_id", "text_hash").alias("key")).join(sets, "key").dropDuplicates(["fp"])
+    by_print = materialise(by_print.select("fp", "set"))
+    both = edges.join(by_print.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(by_print.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, bits: int = 13, least: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate group of ``docs``: the one of smallest id.
+
+    At the 0.8 shingle similarity of near copies, fingerprints differ in up to some
+    thirteen bits, more than bit blocks can look up. So groups to compare come from
+    min-wise band keys of five-word shingles, and the Gray-order index links within
+    them; a pair it links is checked on its shingle sets. Texts of one fingerprint
+    are one node, however many. Ties of id go to the smaller text hash, and of repeated rows one stays; null ids are the largest.
+    Documents without a word are copies of each other.
+    """
+    marks = materialise(sketches(docs))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = materialise(marks.groupBy("fp").agg(F.min(who).alias("who")))
+    nodes = marks.select("fp", F.explode("keys").alias("key")).distinct()
+    edges = materialise(index_links(nodes, bits, closest=True).distinct())
+    roots = connected(alike(docs, named, edges, least))
+    keep = named.join(roots, named.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    keep = materialise(keep.agg(F.min("who").alias("who")).select(F.struct("who.doc_id", "who.text_hash").alias("__key")))
+    marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    stays = marked.join(keep, "__key", "left_semi")
+    return stays.dropDuplicates(["__key"]).select(*docs.columns)

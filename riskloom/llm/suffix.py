@@ -52,10 +52,11 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last) of the anchors of ``width`` bytes or more, fewer than 2^24.
+def anchors(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last, at) of the anchors of ``width`` bytes or more, fewer than 2^24.
 
-    Windows ``first`` to ``last`` share their smallest word hash, the first of equals.
+    Windows ``first`` to ``last`` have their smallest word hash at ``at``, the first of
+    equals.
     """
     hashes = word_hashes(raw)
     order = (hashes & ~np.uint64(0xFFFFFF)) | (np.arange(len(hashes), dtype=np.uint64) & np.uint64(0xFFFFFF))
@@ -69,7 +70,7 @@ def anchors(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     last = np.r_[first[1:], n] - 1
     at = first + ((least[first] - first.astype(np.uint64)) & np.uint64(0xFFFFFF)).astype(np.int64)
-    return hashes[at], first, last
+    return hashes[at], first, last, at
 
 
 def stretch_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -80,9 +81,10 @@ def stretch_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.n
 
 
 def anchored(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each anchor: ``key``, ``seg`` (hash of its stretch), document, ``first``, ``size``.
+    """A row for each anchor: ``key``, ``seg`` (hash of its stretch), document, ``first``, ``shape``.
 
-    Windows ``first`` and the ``size - width`` after it lie in the stretch. A document
+    Windows ``first`` and the ``size - width`` after it lie in the stretch; ``shape`` holds its
+    size and, in the lower 12 bits, the anchor's place in it. A document
     is known by its id and text hash. Texts under ``width`` bytes have no anchor.
     """
 
@@ -93,9 +95,9 @@ def anchored(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if len(raw) < width:
                 continue
             for begin in range(0, len(raw) - width + 1, PIECE):
-                key, first, last = anchors(raw[begin : begin + PIECE + width - 1], width)
+                key, first, last, at = anchors(raw[begin : begin + PIECE + width - 1], width)
                 seg = stretch_hashes(raw, begin + first, begin + last + width)
-                out.append((np.full(len(key), i, np.int64), key.view(np.int64), seg, begin + first, last + width - first))
+                out.append((np.full(len(key), i, np.int64), key.view(np.int64), seg, begin + first, last + width - first, at - first))
             if sum(len(o[0]) for o in out) > 200_000:
                 yield rows(batch, out)
                 out = []
@@ -103,15 +105,15 @@ def anchored(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield rows(batch, out)
 
     def rows(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
-        at, key, seg, first, size = (np.concatenate(c) for c in zip(*out))
-        ids = pa.array(at)
+        row, key, seg, first, size, at = (np.concatenate(c) for c in zip(*out))
+        ids = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [pa.array(key), pa.array(seg), batch.column(0).take(ids), batch.column(1).take(ids),
-             pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
-            ["key", "seg", "doc_id", "text_hash", "first", "size"],
+             pa.array(first.astype(np.int32)), pa.array((size << 12 | at).astype(np.int32))],
+            ["key", "seg", "doc_id", "text_hash", "first", "shape"],
         )
 
-    return map_rows(keyed(docs), run, "key long, seg long, doc_id long, text_hash long, first int, size int")
+    return map_rows(keyed(docs), run, "key long, seg long, doc_id long, text_hash long, first int, shape int")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -154,20 +156,20 @@ def merge(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
     places not parted after ``width`` bytes share an interval.
     """
     codes, at = np.unique(np.concatenate([s.before for s in shards]), return_inverse=True)
-    before = np.split(at.astype(np.int64), np.cumsum([len(s.before) for s in shards])[:-1])
+    before = np.split(at.astype(np.int32), np.cumsum([len(s.before) for s in shards])[:-1])
     begin = width % STEP
     # the order by the first few bytes, each shard being in order itself
     head = np.concatenate([s.rank_code[s.order] >> np.uint64(8 * (STEP - begin)) if begin else np.zeros(len(s.order), np.uint64) for s in shards])
     source = np.repeat(np.arange(len(shards)), [len(s.order) for s in shards])
     by = np.argsort(head, kind="stable")
-    mix, head = source[by], head[by]
+    mix, head = source[by].astype(np.uint16), head[by]
     interval = np.cumsum(np.r_[0, head[1:] != head[:-1]])
     for _ in range(width // STEP):
         # suffixes of a shard come in its order: the i-th place of a shard is its i-th suffix
         byshard = np.argsort(mix, kind="stable")
-        sequence = np.empty(len(mix), np.int64)
+        sequence = np.empty(len(mix), np.int32)
         sequence[byshard] = np.concatenate(before)
-        by = np.argsort(sequence, kind="stable")
+        by = radix_order(sequence)
         mix, sequence, interval = mix[by], sequence[by], interval[by]
         interval = np.cumsum(np.r_[0, (sequence[1:] != sequence[:-1]) | (interval[1:] != interval[:-1])])
     return mix, interval
@@ -181,10 +183,11 @@ def repeated_windows(stretches: list[tuple[bytes, int]], width: int) -> list[np.
     """
     shards, members, held = [], [], 0
     group: list[int] = []
+    most = max(SHARD_BYTES, sum(len(raw) + STEP for raw, _ in stretches) // MERGE_SHARDS)
     for i, (raw, _) in enumerate(stretches):
         group.append(i)
         held += len(raw) + STEP
-        if held >= max(SHARD_BYTES, sum(len(s[0]) + STEP for s in stretches) // MERGE_SHARDS) or i == len(stretches) - 1:
+        if held >= most or i == len(stretches) - 1:
             members.append(group)
             shards.append(Shard([stretches[j][0] for j in group], width))
             group, held = [], 0
@@ -210,6 +213,43 @@ def repeated_windows(stretches: list[tuple[bytes, int]], width: int) -> list[np.
     return out
 
 
+def alike_by(keys: np.ndarray, sides: list[bytes], width: int) -> np.ndarray:
+    """Longest prefix, up to ``width``, that each string shares with another of its key."""
+    text = np.array(sides, f"S{width}")
+    order = np.lexsort((text, keys))
+    size = np.minimum(np.array(list(map(len, sides))), width)[order]
+    grid = text[order].view(np.uint8).reshape(len(sides), width)
+    same = np.minimum.accumulate(grid[1:] == grid[:-1], axis=1).sum(axis=1)
+    same = np.minimum(np.minimum(same, size[1:]), size[:-1])
+    same[keys[order][1:] != keys[order][:-1]] = 0
+    out = np.zeros(len(sides), np.int64)
+    out[order] = np.maximum(np.r_[0, same], np.r_[same, 0])
+    return out
+
+
+def shareable(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each stretch that others of its anchor may share windows with.
+
+    A shared window holds the anchor, so it reaches no further to either side than
+    the stretch agrees with some other there.
+    """
+    keys = np.array([r[0] for r in rows])
+    at = np.array([r[4] for r in rows])
+    right = alike_by(keys, [r[5][r[4] :] for r in rows], 2 * width)
+    left = alike_by(keys, [r[5][: r[4]][::-1] for r in rows], width)
+    return at - left, at + right
+
+
+def radix_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative integers, 16 bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    high = values >> 16
+    while high.any():
+        order = order[np.argsort((high & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+        high = high >> 16
+    return order
+
+
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.r_[0, marks.astype(np.int8), 0]))
     return edge[::2], edge[1::2]
@@ -227,14 +267,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, most: int = 20_000) -> DataFram
     """
     marks = materialise(anchored(docs, width))
     who = F.struct("doc_id", "text_hash", "first")
-    segs = marks.groupBy("key", "seg").agg(F.min(who).alias("who"), F.count("*").alias("n"), F.min("size").alias("size"))
+    segs = marks.groupBy("key", "seg").agg(F.min(who).alias("who"), F.count("*").alias("n"), F.min("shape").alias("shape"))
     keys = segs.groupBy("key").agg(F.count("*").alias("segs"), F.sum("n").alias("n")).where("n > 1")
     segs = materialise(segs.join(keys.select("key", "segs"), "key"))
     again = segs.where("n > 1").select("key", "seg", "who")
     copies = marks.join(again, ["key", "seg"]).where(F.struct("doc_id", "text_hash", "first") != F.col("who"))
-    copies = copies.select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
+    copies = copies.select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.shiftright("shape", 12)).alias("stop"))
 
-    mixed = segs.where("segs > 1").select("key", "segs", "who.doc_id", "who.text_hash", "who.first", "size")
+    mixed = segs.where("segs > 1").select("key", "segs", "who.doc_id", "who.text_hash", "who.first", "shape")
     cut = stretches_of(docs, materialise(mixed))
     cut = materialise(cut)
     usual = merged(cut.where(F.col("segs") <= most), width)
@@ -244,7 +284,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, most: int = 20_000) -> DataFram
 
 def stretches_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` with ``raw``, the bytes from ``first`` on; a document's places travel together."""
-    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "segs", "first", "size")).alias("places"))
+    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "segs", "first", "shape")).alias("places"))
     found = lists.select(F.struct("doc_id", "text_hash").alias("who"), "places")
     texts = keyed(docs).select(F.struct("doc_id", "text_hash").alias("who"), "text")
 
@@ -254,20 +294,20 @@ def stretches_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             who = who.as_py()
             for p in list_.as_py():
-                out.append((p["key"], p["segs"], who["doc_id"], who["text_hash"], p["first"], raw[p["first"] : p["first"] + p["size"]]))
+                out.append((p["key"], p["segs"], who["doc_id"], who["text_hash"], p["first"], p["shape"] & 4095, raw[p["first"] : p["first"] + (p["shape"] >> 12)]))
             if len(out) > 50_000:
                 yield rows(out)
                 out = []
         if out:
             yield rows(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "segs", "doc_id", "text_hash", "first", "raw"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "segs", "doc_id", "text_hash", "first", "at", "raw"])
 
     joined = texts.join(found, "who").select("who", "text", "places")
-    made = map_rows(joined, run, "key long, segs long, doc_id long, text_hash long, first int, raw binary")
+    made = map_rows(joined, run, "key long, segs long, doc_id long, text_hash long, first int, at int, raw binary")
     # rows equal in id and text give their stretches twice; one is enough
     return made.dropDuplicates(["key", "doc_id", "text_hash", "first"])
 
@@ -275,7 +315,7 @@ def stretches_of(docs: DataFrame, places: DataFrame) -> DataFrame:
 SPANS = "doc_id long, text_hash long, start int, stop int"
 
 
-def merged(cut: DataFrame, width: int, chunk: int = 1 << 22) -> DataFrame:
+def merged(cut: DataFrame, width: int, chunk: int = 1 << 20) -> DataFrame:
     """Covered spans of the stretches in ``cut``, compared within their anchor.
 
     A task takes whole anchors until they hold ``chunk`` bytes and merges their shards.
@@ -290,23 +330,28 @@ def merged(cut: DataFrame, width: int, chunk: int = 1 << 22) -> DataFrame:
                     yield from spans(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[5])
                 last = row[0]
         if rows:
             yield from spans(rows)
 
     def spans(rows: list) -> Iterator[pa.RecordBatch]:
         # rows come by anchor and age, so their number is an age within an anchor
-        found = repeated_windows([(r[4], i) for i, r in enumerate(rows)], width)
+        begin, stop = shareable(rows, width)
+        live = np.flatnonzero(stop - begin >= width).tolist()
+        if not live:
+            return
+        parts = [(rows[i][5][begin[i] : stop[i]], i) for i in live]
         out = []
-        for r, marks in zip(rows, found):
+        for i, marks in zip(live, repeated_windows(parts, width)):
+            _, doc, text, first, *_ = rows[i]
             for a, b in zip(*(x.tolist() for x in runs(marks))):
-                out.append((r[1], r[2], r[3] + a, r[3] + b - 1 + width))
+                out.append((doc, text, first + int(begin[i]) + a, first + int(begin[i]) + b - 1 + width))
         if out:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "start", "stop"])
 
-    dealt = cut.select("key", "doc_id", "text_hash", "first", "raw").repartition("key")
+    dealt = cut.select("key", "doc_id", "text_hash", "first", "at", "raw").repartition("key")
     ordered = dealt.sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "text_hash", "first")
     return ordered.mapInArrow(run, SPANS)
 

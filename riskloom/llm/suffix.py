@@ -80,44 +80,112 @@ def stretch_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.n
     return np.frombuffer(b"".join(made), np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``who`` (id and 32 bits of the text's hash) and ``text`` of every row."""
+    text_hash = F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash")).alias("who"), "text")
+
+
+MARKS = "key long, seg long, doc_id long, place long, shape int"
+
+
+def mark_rows(key, seg, doc_id, place, shape) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    columns = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip((key, seg, doc_id, place, shape), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "seg", "doc_id", "place", "shape"])
+
+
 def anchored(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each anchor: ``key``, ``seg`` (hash of its stretch), document, ``first``, ``shape``.
+    """A row for each anchor: ``key``, ``seg`` (hash of its stretch), ``doc_id``, ``place``, ``shape``.
 
-    Windows ``first`` and the ``size - width`` after it lie in the stretch; ``shape`` holds its
-    size and, in the lower 12 bits, the anchor's place in it. A document
-    is known by its id and text hash. Texts under ``width`` bytes have no anchor.
+    ``place`` is the text's hash and, in the lower 31 bits, the stretch's start. ``shape``
+    holds its size and, in the lower 12 bits, the anchor's place in it. Of equal
+    stretches of a batch only the first is sent on. The others are repeats whatever else
+    there is: they come as spans, joined where they touch, with a zero ``shape`` and
+    their end as ``seg``. Texts under ``width`` bytes have no anchor.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column(0).field(0)
+        hashes = batch.column(0).field(1).to_numpy()
         out = []
-        for i, text in enumerate(batch.column(2)):
+        for i, text in enumerate(batch.column(1)):
             raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-            if len(raw) < width:
-                continue
             for begin in range(0, len(raw) - width + 1, PIECE):
                 key, first, last, at = anchors(raw[begin : begin + PIECE + width - 1], width)
                 seg = stretch_hashes(raw, begin + first, begin + last + width)
-                out.append((np.full(len(key), i, np.int64), key.view(np.int64), seg, begin + first, last + width - first, at - first))
-            if sum(len(o[0]) for o in out) > 200_000:
-                yield rows(batch, out)
-                out = []
-        if out:
-            yield rows(batch, out)
-
-    def rows(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
+                out.append((np.full(len(key), i), key.view(np.int64), seg, begin + first, last + width - first, at - first))
+        if not out:
+            return
         row, key, seg, first, size, at = (np.concatenate(c) for c in zip(*out))
-        ids = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(seg), batch.column(0).take(ids), batch.column(1).take(ids),
-             pa.array(first.astype(np.int32)), pa.array((size << 12 | at).astype(np.int32))],
-            ["key", "seg", "doc_id", "text_hash", "first", "shape"],
-        )
-
-    return map_rows(keyed(docs), run, "key long, seg long, doc_id long, text_hash long, first int, shape int")
-
+        place = hashes[row] << 31 | first
+        age = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
+        order = np.lexsort((place, age[row], seg, key))
+        again = np.r_[False, (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1])]
+        new, old = order[~again], np.sort(order[again])
+        for start in range(0, len(new), 100_000):
+            at_ = new[start : start + 100_000]
+            yield mark_rows(key[at_], seg[at_], ids.take(pa.array(row[at_])), place[at_], size[at_] << 12 | at[at_])
+        if len(old):
+            opens = np.r_[True, (row[old][1:] != row[old][:-1]) | (first[old][1:] > (first + size)[old][:-1])]
+            start, stop = old[opens], (first + size)[old][np.r_[opens[1:], True]]
+            yield mark_rows(place[start] * 31 + age[row[start]], stop, ids.take(pa.array(row[start])), place[start], np.zeros(len(start), np.int32))
+
+    return map_rows(keyed(docs), run, MARKS)
+
+
+def sorted_out(marks: DataFrame) -> DataFrame:
+    """Repeated spans (as in ``anchored``) and the first of each different stretch of shared anchors.
+
+    A task reads its anchors in order and keeps one row in memory. A stretch found
+    before is a span; the first stretch of an anchor is passed on when a second differs.
+    """
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the first stretch of the last anchor, while it is the only one
+        last_key = last_seg = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, seg, shape = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            place = batch.column(3).to_numpy()
+            span = shape == 0
+            same_key = np.r_[not span[0] and key[0] == last_key, (key[1:] == key[:-1]) & ~span[1:] & ~span[:-1]]
+            same = same_key & np.r_[seg[0] == last_seg, seg[1:] == seg[:-1]]
+            groups = np.cumsum(~same_key)
+            several = np.zeros(groups[-1] + 1, bool)
+            several[groups[same_key & ~same]] = True
+            fresh = ~same & ~span
+            continued = same_key[0]
+            if continued and several[0] and held is not None:
+                yield held
+                held = None
+            if not continued:
+                held = None
+            keep = fresh & several[groups]
+            if continued and held is None and last_several:
+                keep |= fresh & (groups == 0)
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield batch.take(pa.array(at))
+            at = np.flatnonzero(same)
+            if len(at):
+                begin = place[at] & 0x7FFFFFFF
+                yield mark_rows(key[at], begin + (shape[at] >> 12), batch.column(2).take(pa.array(at)), place[at], np.zeros(len(at), np.int32))
+            at = np.flatnonzero(span)
+            if len(at):
+                yield batch.take(pa.array(at))
+            final = groups[-1]
+            last_several = several[final] or (continued and final == 0 and last_several)
+            if not (continued and final == 0):
+                first = np.flatnonzero(groups == final)[0]
+                held = None if last_several or span[first] else batch.slice(int(first), 1)
+            last_key, last_seg = (None, None) if span[-1] else (key[-1], seg[-1])
+
+    dealt = marks.repartition("key").sortWithinPartitions(
+        "key", (F.col("shape") == 0), "seg", F.col("doc_id").asc_nulls_first(), "place"
+    )
+    return dealt.mapInArrow(run, MARKS)
 
 
 class Shard:
@@ -256,37 +324,34 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, most: int = 20_000) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``start``, ``stop``: bytes covered by an earlier window.
+    """``who``, ``start``, ``stop``: bytes covered by an earlier window.
 
     A stretch that occurs again is covered whole, its first place apart. The first
     places of an anchor's different stretches are then compared. Anchors with more
-    than ``most`` different stretches are cut up: their windows meet by offset from
-    the anchor and hash, which spreads over tasks and combines before the shuffle.
-    Earlier means a smaller id (null first), then text hash, then place; rows equal in
-    id and text count as one document.
+    than ``most`` different stretches are cut up: their windows meet by hash, which
+    spreads over tasks and combines before the shuffle. Earlier means a smaller id
+    (null first), then text hash, then place; rows equal in id and text count as one
+    document.
     """
-    marks = materialise(anchored(docs, width))
-    who = F.struct("doc_id", "text_hash", "first")
-    segs = marks.groupBy("key", "seg").agg(F.min(who).alias("who"), F.count("*").alias("n"), F.min("shape").alias("shape"))
-    keys = segs.groupBy("key").agg(F.count("*").alias("segs"), F.sum("n").alias("n")).where("n > 1")
-    segs = materialise(segs.join(keys.select("key", "segs"), "key"))
-    again = segs.where("n > 1").select("key", "seg", "who")
-    copies = marks.join(again, ["key", "seg"]).where(F.struct("doc_id", "text_hash", "first") != F.col("who"))
-    copies = copies.select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.shiftright("shape", 12)).alias("stop"))
-
-    mixed = segs.where("segs > 1").select("key", "segs", "who.doc_id", "who.text_hash", "who.first", "shape")
-    cut = stretches_of(docs, materialise(mixed))
-    cut = materialise(cut)
-    usual = merged(cut.where(F.col("segs") <= most), width)
-    crowded = windows_met(cut.where(F.col("segs") > most), width)
-    return copies.unionByName(usual).unionByName(crowded)
+    marks = materialise(sorted_out(anchored(docs, width)))
+    who = F.struct("doc_id", F.shiftright("place", 31).alias("text_hash")).alias("who")
+    first = F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")
+    copies = marks.where("shape = 0").select(who, first.alias("start"), F.col("seg").cast("int").alias("stop"))
+    mixed = marks.where("shape > 0").select("key", who, first.alias("first"), "shape")
+    crowded = materialise(mixed.groupBy("key").count().where(F.col("count") > most).select("key"))
+    if crowded.isEmpty():
+        return copies.unionByName(merged(stretches_of(docs, mixed), width))
+    cut = materialise(stretches_of(docs, mixed))
+    usual = merged(cut.join(crowded, "key", "left_anti"), width)
+    return copies.unionByName(usual).unionByName(windows_met(cut.join(crowded, "key", "left_semi"), width))
+
+
+CUT = "key long, doc_id long, text_hash long, first int, at int, raw binary"
 
 
 def stretches_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` with ``raw``, the bytes from ``first`` on; a document's places travel together."""
-    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "segs", "first", "shape")).alias("places"))
-    found = lists.select(F.struct("doc_id", "text_hash").alias("who"), "places")
-    texts = keyed(docs).select(F.struct("doc_id", "text_hash").alias("who"), "text")
+    found = places.groupBy("who").agg(F.collect_list(F.struct("key", "first", "shape")).alias("places"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
@@ -294,25 +359,29 @@ def stretches_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             who = who.as_py()
             for p in list_.as_py():
-                out.append((p["key"], p["segs"], who["doc_id"], who["text_hash"], p["first"], p["shape"] & 4095, raw[p["first"] : p["first"] + (p["shape"] >> 12)]))
-            if len(out) > 50_000:
+                first, shape = p["first"], p["shape"]
+                out.append((p["key"], who["doc_id"], who["text_hash"], first, shape & 4095, raw[first : first + (shape >> 12)]))
+            if len(out) > 20_000:
                 yield rows(out)
                 out = []
         if out:
             yield rows(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "segs", "doc_id", "text_hash", "first", "at", "raw"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "doc_id", "text_hash", "first", "at", "raw"])
+
+    return map_rows(keyed(docs).join(found, "who").select("who", "text", "places"), run, CUT)
+
 
-    joined = texts.join(found, "who").select("who", "text", "places")
-    made = map_rows(joined, run, "key long, segs long, doc_id long, text_hash long, first int, at int, raw binary")
-    # rows equal in id and text give their stretches twice; one is enough
-    return made.dropDuplicates(["key", "doc_id", "text_hash", "first"])
+SPANS = "who struct<doc_id:long,text_hash:long>, start int, stop int"
 
 
-SPANS = "doc_id long, text_hash long, start int, stop int"
+def span_rows(out: list) -> pa.RecordBatch:
+    doc, text, start, stop = zip(*out)
+    who = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(text, pa.int64())], ["doc_id", "text_hash"])
+    return pa.RecordBatch.from_arrays([who, pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["who", "start", "stop"])
 
 
 def merged(cut: DataFrame, width: int, chunk: int = 1 << 20) -> DataFrame:
@@ -323,9 +392,12 @@ def merged(cut: DataFrame, width: int, chunk: int = 1 << 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
-        held, last = 0, None
+        held, last, last_row = 0, None, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] == last_row:
+                    continue  # a row given twice
+                last_row = row[:4]
                 if row[0] != last and held >= chunk:
                     yield from spans(rows)
                     rows, held = [], 0
@@ -348,8 +420,7 @@ def merged(cut: DataFrame, width: int, chunk: int = 1 << 20) -> DataFrame:
             for a, b in zip(*(x.tolist() for x in runs(marks))):
                 out.append((doc, text, first + int(begin[i]) + a, first + int(begin[i]) + b - 1 + width))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "start", "stop"])
+            yield span_rows(out)
 
     dealt = cut.select("key", "doc_id", "text_hash", "first", "at", "raw").repartition("key")
     ordered = dealt.sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "text_hash", "first")
@@ -360,13 +431,14 @@ def windows_met(cut: DataFrame, width: int) -> DataFrame:
     """As ``merged``, for anchors of very many different stretches: window by window."""
     n = F.greatest(F.octet_length("raw") - width, F.lit(0))
     each = cut.select("key", "doc_id", "text_hash", "first", "raw", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    each = each.select(
+    each = each.dropDuplicates(["key", "doc_id", "text_hash", "first", "i"]).select(
         F.sha2(F.substring("raw", F.col("i") + 1, F.lit(width)), 256).alias("window"), "key",
         F.struct("doc_id", "text_hash", (F.col("first") + F.col("i")).alias("start")).alias("who"),
     )
     first = each.groupBy("key", "window").agg(F.min("who").alias("oldest"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = each.join(first, ["key", "window"]).where("who <> oldest")
-    return late.select("who.doc_id", "who.text_hash", "who.start", (F.col("who.start") + width).cast("int").alias("stop"))
+    place = F.struct("who.doc_id", "who.text_hash").alias("who")
+    return late.select(place, F.col("who.start").alias("start"), (F.col("who.start") + width).cast("int").alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -376,9 +448,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     null text counts as empty. Extra columns are ignored.
     """
     spans = repeats(docs, width)
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    lists = lists.select(F.struct("doc_id", "text_hash").alias("who"), "spans")
-    texts = keyed(docs).select(F.struct("doc_id", "text_hash").alias("who"), "text")
+    lists = spans.groupBy("who").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         removed, kept, sizes = [], [], []
@@ -400,5 +470,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             ["doc_id", "n_bytes", "spans", "kept"],
         )
 
-    joined = texts.join(lists, "who", "left").select("who", "text", "spans")
+    joined = keyed(docs).join(lists, "who", "left").select("who", "text", "spans")
     return map_rows(joined, run, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")

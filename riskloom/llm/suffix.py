@@ -341,9 +341,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, most: int = 20_000) -> DataFram
     crowded = materialise(mixed.groupBy("key").count().where(F.col("count") > most).select("key"))
     if crowded.isEmpty():
         return copies.unionByName(merged(stretches_of(docs, mixed), width))
-    cut = materialise(stretches_of(docs, mixed))
-    usual = merged(cut.join(crowded, "key", "left_anti"), width)
-    return copies.unionByName(usual).unionByName(windows_met(cut.join(crowded, "key", "left_semi"), width))
+    # both read the texts in the same way, so that they are moved once
+    usual = merged(stretches_of(docs, mixed.join(crowded, "key", "left_anti")), width)
+    many = windows_met(stretches_of(docs, mixed.join(crowded, "key", "left_semi")), width)
+    return copies.unionByName(usual).unionByName(many)
 
 
 CUT = "key long, doc_id long, text_hash long, first int, at int, raw binary"
@@ -429,11 +430,14 @@ def merged(cut: DataFrame, width: int, chunk: int = 1 << 20) -> DataFrame:
 
 def windows_met(cut: DataFrame, width: int) -> DataFrame:
     """As ``merged``, for anchors of very many different stretches: window by window."""
-    n = F.greatest(F.octet_length("raw") - width, F.lit(0))
-    each = cut.select("key", "doc_id", "text_hash", "first", "raw", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    each = each.dropDuplicates(["key", "doc_id", "text_hash", "first", "i"]).select(
-        F.sha2(F.substring("raw", F.col("i") + 1, F.lit(width)), 256).alias("window"), "key",
-        F.struct("doc_id", "text_hash", (F.col("first") + F.col("i")).alias("start")).alias("who"),
+    window = F.substring("raw", F.col("i") + 1, F.lit(width))
+    each = (
+        cut.dropDuplicates(["key", "doc_id", "text_hash", "first"])
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - width)))
+        .select(
+            F.struct(F.xxhash64(window), F.xxhash64(F.lit(1), window)).alias("window"), "key",
+            F.struct("doc_id", "text_hash", (F.col("first") + F.col("i")).alias("start")).alias("who"),
+        )
     )
     first = each.groupBy("key", "window").agg(F.min("who").alias("oldest"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = each.join(first, ["key", "window"]).where("who <> oldest")

@@ -152,22 +152,23 @@ def conform_features(spark, sf):
 
 @query(
     "feature_list_difference",
-    ["identity"],
-    "select unnest(['C1', 'V_PCA_1']) as feature",
+    ["identity", "attrib_long"],
+    "select distinct feature from attrib_long union all select 'TransactionDT'",
 )
 def feature_list_difference(spark, sf):
     df = view(spark, sf, "identity")
-    wanted = spark.createDataFrame([("id_02",), ("C1",), ("id_12",), ("V_PCA_1",)], "feature string")
+    listed = view(spark, sf, "attrib_long").select("feature").distinct()
+    wanted = listed.union(spark.createDataFrame([("id_02",), ("TransactionDT",)], "feature string"))
     return clean.missing_features(df, wanted)
 
 
 @query(
     "select_by_prefix",
     ["vectors"],
-    "select cast(embedding[1] as double) as V1, cast(embedding[2] as double) as V2, cast(embedding[3] as double) as V3 from vectors",
+    "select " + ", ".join(f"cast(embedding[{i}] as double) as V{i}" for i in range(1, 65)) + " from vectors",
 )
 def select_by_prefix(spark, sf):
-    block = reduce.block_from_array(view(spark, sf, "vectors"), "embedding", 3)
+    block = reduce.block_from_array(view(spark, sf, "vectors"), "embedding", 64)
     return block.select(*clean.columns_with_prefix(block, "V"))
 
 
@@ -200,7 +201,7 @@ COUNTED = ["TransactionID", "TransactionAmt", "card1", "card4", "addr1", "addr2"
     ["txn"],
     "with counted as ("
     + " union all ".join(f"select '{c}' as feature, count(distinct {c}) as n from txn" for c in COUNTED)
-    + ") select feature, case when n < 50 then n end as n_distinct, n < 50 as categorical from counted",
+    + ") select feature, n as n_distinct, n > 0 and n < 50 as categorical from counted",
 )
 def distinct_counts(spark, sf):
     return profile.distinct_counts(view(spark, sf, "txn"), COUNTED)

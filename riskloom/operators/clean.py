@@ -104,11 +104,20 @@ def fill_nonfinite(df: DataFrame, columns: Iterable[str], value: float = -1.0) -
     return replace_columns(df, {c: F.coalesce(finite(F.col(c)), F.lit(value)) for c in columns})
 
 
+def missing_share(df: DataFrame, column: str) -> Column:
+    """Share of rows without a value: NULL, in a column of floats also NaN."""
+    value = F.col(f"`{column}`")
+    gone = value.isNull()
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        gone = gone | F.isnan(value)
+    return F.avg(gone.cast("int"))
+
+
 def sparse_columns(df: DataFrame, threshold: float = 0.9, exclude: Iterable[str] = ()) -> list[str]:
-    """Columns whose share of NULLs is above ``threshold``; one aggregate over all."""
+    """Columns whose share of missing values is above ``threshold``; one aggregate over all."""
     skip = set(exclude)
     names = [c for c in df.columns if c not in skip]
-    shares = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(str(i)) for i, c in enumerate(names)]).first()
+    shares = df.agg(*[missing_share(df, c).alias(str(i)) for i, c in enumerate(names)]).first()
     return [c for i, c in enumerate(names) if (shares[i] or 0.0) > threshold]
 
 
@@ -148,8 +157,9 @@ def missing_features(df: DataFrame, features: DataFrame, name: str = "feature")
 def dedup_keep_first(df: DataFrame, key: str | list[str], order_by: list[str] | None = None) -> DataFrame:
     """The first row per key under a stated order.
 
-    ``min_by`` over whole rows combines on the map side, so a key that holds a
-    large share of the rows never meets in one task. Without ``order_by`` the
+    Keys alone are counted first; rows of keys that occur once pass through, and only
+    those of repeated keys are reduced, with ``min_by``, which combines on the map
+    side, so a key that holds a large share of the rows never meets in one task. Without ``order_by`` the
     file position is used where the reader added it, else all other columns.
     """
     from riskloom.sources.tables import ROW_ORDER
@@ -162,5 +172,10 @@ def dedup_keep_first(df: DataFrame, key: str | list[str], order_by: list[str] |
         order_by = [ROW_ORDER] if ROW_ORDER in rest else rest
     row = F.struct(*[F.col(f"`{c}`") for c in rest])
     order = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    first = df.groupBy(*keys).agg(F.min_by(row, order).alias("_first"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
+    marked = df.withColumn("_keys", F.struct(*[F.col(f"`{c}`") for c in keys]))
+    repeated = marked.groupBy("_keys").count().where(F.col("count") > 1).select("_keys")
+    once = marked.join(repeated, "_keys", "left_anti").drop("_keys")
+    first = marked.join(repeated, "_keys", "left_semi").groupBy(*keys).agg(F.min_by(row, order).alias("_first"))
+    return once.select(*df.columns).union(
+        first.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.functions.scalars import finite
-from riskloom.operators.clean import numeric_columns
+from riskloom.operators.clean import missing_share, numeric_columns
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     columns = columns or numeric_columns(df)
     wide = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(F.col(c).isNull().cast("int")).alias(f"null_{i}") for i, c in enumerate(columns)],
+        *[missing_share(df, c).alias(f"null_{i}") for i, c in enumerate(columns)],
         *[F.avg(finite(F.col(c))).alias(f"mean_{i}") for i, c in enumerate(columns)],
         *[F.stddev_samp(finite(F.col(c))).alias(f"std_{i}") for i, c in enumerate(columns)],
     )
@@ -86,22 +86,17 @@ def narrow_frequencies(df: DataFrame, columns: list[str] | None = None, limit: i
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, limit: int = 50) -> DataFrame:
-    """``feature, n_distinct, categorical``; wide columns have a NULL count.
+    """``feature, n_distinct, categorical``; categorical columns have 1 to ``limit`` - 1 values.
 
-    Only columns below the limit need an exact count, and only they are counted.
+    Every column is counted exactly, each value once per map task.
     """
     columns = columns or list(df.columns)
-    maybe = _maybe_narrow(df, columns, limit)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    if not maybe:
-        return names.select("feature", F.lit(None).cast("long").alias("n_distinct"), F.lit(False).alias("categorical"))
-    counted = (
-        value_frequencies(df, maybe)
-        .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-        .where(F.col("n_distinct") < limit)
+    counted = value_frequencies(df, columns).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return names.join(counted, "feature", "left").select(
+        "feature", n.alias("n_distinct"), ((n > 0) & (n < limit)).alias("categorical")
     )
-    return names.join(counted, "feature", "left").withColumn("categorical", F.col("n_distinct").isNotNull())
 
 
 def exact_medians(

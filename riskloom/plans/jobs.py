@@ -30,7 +30,7 @@ from riskloom.plans.stack import TRAINING_VOTE, StackResult, compare_scored, in_
 from riskloom.session import materialise
 from riskloom.sources import sinks
 from riskloom.sources.state import FittedState, save_state
-from riskloom.sources.tables import load_joined
+from riskloom.sources.tables import ROW_ORDER, load_joined
 
 
 @dataclass
@@ -62,7 +62,7 @@ def train_job(
     test_share: float = 0.2,
     fit_scope: str = "train",
     final: str = "refit",
-    explain_rows: int | None = 1000,
+    explain_rows: int | None = None,
     sample_size: int | None = None,
     seed: int = 42,
     output: str | None = None,
@@ -71,7 +71,7 @@ def train_job(
     """Join, split, fit the feature plan, stack, evaluate on the hold-out, explain, save.
 
     ``fit_scope="train"`` fits the plan on the training part only, ``"all"`` on
-    every row. ``explain_rows=None`` explains the whole hold-out.
+    every row. The whole hold-out is explained; ``explain_rows`` asks for a sample of it.
     """
     o = options or PlanOptions()
     rows = load_joined(fact, identity, o.key)
@@ -144,7 +144,7 @@ def score_rows(
 
     Uses the fitted tables; ``refit_on_batch`` recomputes statistics, codes and
     frequencies on the given rows instead. ``deduplicate=False`` leaves out the
-    keep-first step (streams).
+    keep-first step on ``fact`` (streams).
     """
     o = state.plan.options
     if deduplicate:
@@ -152,7 +152,8 @@ def score_rows(
     else:
         rows = clean.rename_columns(fact)
         if identity is not None:
-            rows = rows.join(clean.rename_columns(identity), o.key, "left")
+            one_each = clean.dedup_keep_first(clean.rename_columns(identity), o.key).drop(ROW_ORDER)
+            rows = rows.join(one_each, o.key, "left")
     plan = state.plan.refit(rows) if refit_on_batch else state.plan
     scored = state.stack.score(plan.transform(rows), vote)
     return scored.select(o.key, "fraud_probability", "predicted_label")

@@ -48,7 +48,8 @@ def read_table(
     """Read a table: parquet/ORC as stored, CSV with a declared schema.
 
     Without ``schema`` the CSV header alone is read and the types follow from
-    the column names, so the data is scanned once and never inferred.
+    the column names, so the data is scanned once and never inferred. A file whose
+    header has other names or another order fails instead of being misread.
     """
     first = path if isinstance(path, str) else path[0]
     if format is None:
@@ -58,7 +59,7 @@ def read_table(
         return (reader.schema(schema) if schema else reader).load(path)
     if schema is None:
         schema = schema_for(spark.read.option("header", True).csv(first).columns, types)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def with_file_order(scan: DataFrame) -> DataFrame:

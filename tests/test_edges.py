@@ -193,5 +193,28 @@ def test_scaling(spark):
 def test_no_narrow_column(spark):
     df = spark.range(500)
     assert profile.narrow_frequencies(df, ["id"], 50).count() == 0
-    assert tuple(profile.distinct_counts(df, ["id"], 50).first()) == ("id", None, False)
+    assert tuple(profile.distinct_counts(df, ["id"], 50).first()) == ("id", df.select("id").distinct().count(), False)
     assert encode.FrequencyEncoder.fit(df, ["id"]).transform(df).columns == ["id"]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"), 1.0)] * 19 + [(1.0, 2.0)], "hollow double, full double")
+    assert clean.sparse_columns(df) == ["hollow"]
+    assert {r.feature: round(r.null_share, 2) for r in profile.column_profile(df).collect()} == {"hollow": 0.95, "full": 0.0}
+
+
+def test_csv_with_other_column_order_is_not_misread(spark, tmp_path):
+    from riskloom.sources.tables import read_table
+
+    (tmp_path / "a.csv").write_text("TransactionID,TransactionAmt,dist1\n1,3.5,200\n")
+    (tmp_path / "b.csv").write_text("TransactionID,dist1,TransactionAmt\n2,200,3.5\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert read_table(spark, paths[:1]).first().TransactionAmt == 3.5
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, paths).collect()
+
+
+def test_keep_first_passes_unique_keys(spark):
+    rows = [(1, 5.0, 2), (1, 7.0, 1), (2, 3.0, 9), (None, 1.0, 4), (None, 2.0, 3)]
+    got = clean.dedup_keep_first(spark.createDataFrame(rows, "k int, v double, at int"), "k", ["at"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 7.0, 1), (2, 3.0, 9), (None, 2.0, 3)], key=repr)

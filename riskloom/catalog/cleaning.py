@@ -284,6 +284,3 @@ def drop_correlated(spark, sf):
 def drop_correlated_by_cardinality(spark, sf):
     kept = reduce.drop_correlated_wide(view(spark, sf, "txn_num"), NUM, 0.8, 55)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
-
-
-__all__ = ["joined", "r6"]

@@ -26,6 +26,8 @@ from riskloom.session import materialise
 
 BLOCK_ROWS = 2_048
 MAX_PIVOTS = 256
+#: Synthetic rows made from one minority row in one go.
+DRAWS = 1_024
 _SLACK = 1e-9
 
 # Executors need no copy of this package: the batch functions travel with the job.
@@ -274,11 +276,15 @@ def smote(
     )
     ranked = hashed_rank(few.withColumn("_h", ordering_hash(F.col(key), seed)), "_h").select(key, vector, "rank")
     share, rest = divmod(wanted, n_min)
-    copies = F.lit(share) + (F.col("rank") <= rest).cast("int")
+    copies = F.lit(share).cast("long") + (F.col("rank") <= rest).cast("long")
     draws = (
         ranked.join(lists, key)
         .where(copies > 0)
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), copies)))
+        # few rows may start very many: their draws are dealt out in short stretches first
+        .withColumn("_copies", copies)
+        .withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"), F.lit(DRAWS).cast("long"))))
+        .repartition(key, "_from")
+        .withColumn("draw", F.explode(F.sequence(F.col("_from"), F.least(F.col("_copies"), F.col("_from") + (DRAWS - 1)))))
         .withColumn("pick", F.get("near", F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.size("near")).cast("int")))
         .withColumn("u", F.pmod(F.xxhash64(key, "draw", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     )

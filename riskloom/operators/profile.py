@@ -99,101 +99,73 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, limit: int
     )
 
 
-def exact_medians(
-    df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, max_inside: int = 4_000_000
-) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str] | None = None, bins: int = 2048) -> dict[str, float | None]:
     """Exact medians of the finite values (mean of the middle two), many columns at once.
 
-    A quantile sketch brackets the middle ranks, counting proves the bracket,
-    and only distinct values inside it are ordered. Memory per task is bounded
-    by the sketch, unlike an exact percentile, which keeps every distinct value.
+    Each pass counts values by bin, combined on the map side, and goes on inside the
+    bin that holds the middle, for all open columns together. A task sends at most
+    ``bins`` rows a column, whatever the data. The range shrinks by ``bins`` each pass
+    and its ends never share a bin, so every column ends at single values.
     """
     columns = columns or numeric_columns(df)
-    values = df.select(*[finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first() if columns else []
-    result: dict[str, float | None] = {c: None for i, c in enumerate(columns) if sizes[i] == 0}
-    ranks = {i: ((n + 1) // 2, n // 2 + 1) for i, n in enumerate(sizes) if n}
-    # Per open column the range known to hold both middle ranks: limits, values below it, values up to its end.
-    ranges = {i: (float("-inf"), float("inf"), 0, sizes[i]) for i in ranks}
-    slack = 2.0
-    final: dict[int, tuple[float, float, int, int]] = {}
-    while ranges:
-        brackets = _sketch(values, ranges, ranks, accuracy, slack)
-        counts = values.agg(
-            *[F.count_if(F.col(f"v{i}") < F.lit(low)).alias(f"below{i}") for i, (low, _) in brackets.items()],
-            *[F.count_if(F.col(f"v{i}") <= F.lit(high)).alias(f"upto{i}") for i, (_, high) in brackets.items()],
-        ).first()
-        missed = False
-        for i, (low, high) in brackets.items():
-            below, upto = counts[f"below{i}"], counts[f"upto{i}"]
-            outer = ranges[i][3] - ranges[i][2]
-            if not below < ranks[i][0] <= ranks[i][1] <= upto:
-                missed = True  # possible at the sketch's error bound: look again with more room
-                if 2 * slack >= accuracy:
-                    final[i] = ranges.pop(i)
-            elif low == high:
-                result[columns[i]] = float(low)
-                del ranges[i]
-            elif upto - below <= max_inside or upto - below > 0.9 * outer:
-                final[i] = (low, high, below, upto)
-                del ranges[i]
-            else:
-                ranges[i] = (low, high, below, upto)
-        slack = slack * 4 if missed else slack
-    result.update(_select_inside(values, columns, final, ranks))
-    return result
-
-
-def _sketch(values, ranges, ranks, accuracy, slack) -> dict[int, tuple[float, float]]:
-    """Approximate quantiles a little to each side of the middle, inside each range."""
-    found = values.agg(
-        *[
-            F.percentile_approx(
-                F.when(F.col(f"v{i}").between(F.lit(low), F.lit(high)), F.col(f"v{i}")),
-                [
-                    max(0.0, (ranks[i][0] - below) / (upto - below) - slack / accuracy),
-                    min(1.0, (ranks[i][1] - below) / (upto - below) + slack / accuracy),
-                ],
-                accuracy,
-            ).alias(f"b{i}")
-            for i, (low, high, below, upto) in ranges.items()
-        ]
-    ).first()
-    return {i: tuple(found[f"b{i}"]) for i in ranges}
-
-
-def _select_inside(values, columns, final, ranks) -> dict[str, float]:
-    if not final:
+    if not columns:
         return {}
-    spark = values.sparkSession
-    candidates = F.array(
-        *[
-            F.when(
-                F.col(f"v{i}").between(F.lit(low), F.lit(high)),
-                F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")),
-            )
-            for i, (low, high, _, _) in final.items()
-        ]
-    )
-    wanted = spark.createDataFrame(
-        [(i, s[2], *ranks[i]) for i, s in final.items()], "i int, below long, k1 long, k2 long"
+    values = df.select(*[finite(F.col(c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    ends = values.agg(
+        *[f(f"v{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    ).first()
+    result: dict[str, float | None] = {c: None for i, c in enumerate(columns) if not ends[f"n{i}"]}
+    ranks = {i: ((n + 1) // 2, n // 2 + 1) for i in range(len(columns)) if (n := ends[f"n{i}"])}
+    # per open column: least and largest value left, and how many values are below them
+    open_ = {i: (ends[f"low{i}"], ends[f"high{i}"], 0) for i in ranks}
+    while True:
+        for i in [i for i, (low, high, _) in open_.items() if low == high]:
+            result[columns[i]] = open_.pop(i)[0]
+        if not open_:
+            return result
+        found: dict[int, dict[int, tuple]] = {}
+        for r in _middle_bins(values, open_, ranks, bins).collect():
+            for place, k in enumerate(ranks[r["i"]]):
+                if r["below"] < k <= r["below"] + r["n"]:
+                    found.setdefault(r["i"], {})[place] = (r["low"], r["high"], r["below"])
+        for i, (first, second) in ((i, (f[0], f[1])) for i, f in found.items()):
+            if first == second:
+                open_[i] = first
+            else:  # the middle two are the last of one bin and the first of the next
+                result[columns[i]] = (first[1] + second[0]) / 2.0
+                del open_[i]
+
+
+def _middle_bins(values: DataFrame, open_: dict, ranks: dict, bins: int) -> DataFrame:
+    """``i, low, high, n, below`` of the one or two bins of each open column that hold its middle."""
+
+    def placed(i: int, low: float, high: float):
+        # steps that keep the order of doubles: scaling, log1p by sign, a linear cut
+        factor = 2.0**600 if max(abs(low), abs(high)) < 1e-150 else 1.0
+        linear = low * high > 0 and max(abs(low), abs(high)) <= 2 * min(abs(low), abs(high))
+
+        def at(v):
+            scaled = v * F.lit(factor)
+            return scaled if linear else F.signum(scaled) * F.log1p(F.abs(scaled))
+
+        v, start = F.col(f"v{i}"), at(F.lit(low))
+        width = at(F.lit(high)) - start
+        bin_ = F.floor((at(v) - start) / width * F.lit(float(bins))).cast("int")
+        return F.when(v.between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("i"), bin_.alias("bin"), v.alias("v")))
+
+    each = F.array_compact(F.array(*[placed(i, low, high) for i, (low, high, _) in open_.items()]))
+    counted = (
+        values.select(F.explode(each).alias("c"))
+        .groupBy("c.i", "c.bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high"))
     )
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    picked = (
-        values.select(F.explode(F.array_compact(candidates)).alias("c"))
-        .groupBy("c.i", "c.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto_inside", upto)
-        .join(F.broadcast(wanted), "i")
-        .withColumn("last", F.col("below") + F.col("upto_inside"))
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .groupBy("i")
-        .agg(
-            F.max(F.when(F.col("k1").between(F.col("first"), F.col("last")), F.col("v"))).alias("a"),
-            F.max(F.when(F.col("k2").between(F.col("first"), F.col("last")), F.col("v"))).alias("b"),
-        )
+    wanted = values.sparkSession.createDataFrame(
+        [(i, below, *ranks[i]) for i, (_, _, below) in open_.items()], "i int, start long, k1 long, k2 long"
     )
-    return {columns[r["i"]]: (r["a"] + r["b"]) / 2.0 for r in picked.collect()}
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("bin"))
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(wanted), "i").withColumn("below", F.col("start") + F.col("upto") - F.col("n"))
+    holds = [(F.col("below") < F.col(k)) & (F.col(k) <= F.col("below") + F.col("n")) for k in ("k1", "k2")]
+    return ranked.where(holds[0] | holds[1]).select("i", "low", "high", "n", "below")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -203,7 +202,3 @@ def in_sample_comparison(result: StackResult) -> DataFrame:
     p = soft_vote([F.col(f"{m}_prob") for m in result.model.meta], list(TRAINING_VOTE))
     scored = scored.withColumn("fraud_probability", p).withColumn("predicted_label", decide(F.col("fraud_probability")))
     return compare_scored(scored, [*result.base_models, *result.model.meta], result.label)
-
-
-def manifest_text(entry: dict) -> str:
-    return json.dumps(entry, sort_keys=True)

@@ -62,10 +62,16 @@ def test_nonfinite_and_all_null(spark):
 def test_medians(spark, n):
     df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(97)) / 7).alias("a"), F.col("id").cast("double").alias("b"))
     want = df.agg(F.median("a"), F.median("b")).first()
-    got = profile.exact_medians(df, ["a", "b"], accuracy=10, max_inside=5)
+    got = profile.exact_medians(df, ["a", "b"], bins=3)
     assert got["a"] == pytest.approx(want[0], abs=1e-12) and got["b"] == want[1]
 
 
+def test_medians_of_extreme_values(spark):
+    rows = [(5e-324, -1e308, 2.0), (0.0, 1e308, 2.0), (1e-200, 1e-9, 2.0), (-5e-324, 7.0, 2.0), (None, float("nan"), 3.0)]
+    got = profile.exact_medians(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
+    assert got == {"a": 0.0, "b": (1e-9 + 7.0) / 2, "c": 2.0}
+
+
 def test_rush_hour_bounds(spark):
     df = spark.createDataFrame([(7.0,), (9.0,), (9.2,), (17.0,), (19.0,), (22.0,), (6.0,)], "h double")
     assert [r[0] for r in df.select(S.is_rush_hour(F.col("h"))).collect()] == [1, 1, 0, 1, 1, 0, 0]

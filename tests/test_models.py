@@ -133,7 +133,14 @@ def test_plan_state_and_partial_state(spark, sf, tmp_path):
     assert {tuple(r) for r in score_rows(loaded, new, identity).collect()} == before and len(before) == 1000
     assert score_rows(loaded, fact.where("TransactionID = 5")).count() == 1
 
-    (tmp_path / "run" / "models" / "models" / "meta_meta_prob").rename(tmp_path / "aside")
+    # a second save that stops before its manifest leaves the first one
+    models = tmp_path / "run" / "models"
+    loaded.plan.save(str(models / "versions" / "99999999999999999999-cut" / "plan"))
+    again = load_state(spark, str(models))
+    assert {tuple(r) for r in score_rows(again, new, identity).collect()} == before
+
+    saved = next(p for p in (models / "versions").iterdir() if not p.name.endswith("cut"))
+    (saved / "models" / "meta_meta_prob").rename(tmp_path / "aside")
     with pytest.raises(IncompleteState, match="meta_meta_prob"):
         load_state(spark, f"{out}/models")
     with pytest.raises(IncompleteState):
@@ -184,6 +191,15 @@ def test_neighbors_against_brute_force(spark, block_rows):
             assert got[i, rank] == (j, pytest.approx(distance))
 
 
+def test_smote_of_two_rows_is_dealt_out(spark):
+    rows = spark.range(5_002).select("id", F.array(F.col("id") * 1.0).alias("v"), (F.col("id") < 2).cast("int").alias("isFraud"))
+    made = neighbors.smote(rows, "id", "v").where("synthetic = 1").persist()
+    assert made.count() == 4_998
+    assert made.groupBy("base_id").count().agg(F.min("count"), F.max("count")).first()[:] == (2_499, 2_499)
+    assert made.where("v[0] between 0 and 1").count() == 4_998
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_smote(spark, sf):
     df = view(spark, sf, "vectors")
     out = neighbors.smote(df, "vec_id", "embedding").persist()

@@ -199,6 +199,47 @@ class GrayIndex:
         found = np.array(tree, np.int64).reshape(-1, 2)
         return found[:, 0], found[:, 1]
 
+    def hub(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the member nearest to each key's majority bits with that key's other members."""
+        starts = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, int)
+        size = np.diff(np.r_[starts, len(self.keys)])
+        ones = np.add.reduceat(np.unpackbits(self.fps.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32), starts)
+        middle = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64).ravel()
+        group = np.repeat(np.arange(len(starts)), size)
+        off = np.bitwise_count(self.fps ^ middle[group])
+        first = np.lexsort((self.fps, off, group))[starts]
+        at, to = np.arange(len(group)), first[group]
+        close = (at != to) & (np.bitwise_count(self.fps[at] ^ self.fps[to]) <= bits)
+        return at[close], to[close]
+
+    def across(self, bits: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair of one key, ``bits`` or fewer apart, whose labels differ; a part at a time."""
+        spans, top = self._spans(), len(self.levels) - 1
+        bounds = [self._bounds(level, label, spans) for level in range(top + 1)]
+        roots = np.arange(len(self.levels[top][0]))
+        stack = [(top, roots, roots)]
+        while stack:
+            level, a, b = stack.pop()
+            if len(a) > 16384:
+                half = len(a) // 2
+                stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
+                continue
+            low, high = bounds[level]
+            alike = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+            _, _, conj, disj, _ = self.levels[level]
+            shared = ~(conj ^ disj)[a] & ~(conj ^ disj)[b]
+            look = ~alike & (np.bitwise_count((conj[a] ^ conj[b]) & shared) <= bits)
+            a, b = a[look], b[look]
+            if not len(a):
+                continue
+            if level == 0:
+                yield a, b
+                continue
+            first, size, *_ = self.levels[level]
+            i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+            ok = (i[None] < size[a][:, None]) & (j[None] < size[b][:, None]) & ((a != b)[:, None] | (i <= j)[None])
+            stack.append((level - 1, (first[a][:, None] + i[None])[ok], (first[b][:, None] + j[None])[ok]))
+
     def _spans(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and one past the last fingerprint below each node, by level."""
         start = np.arange(len(self.fps))
@@ -363,8 +404,9 @@ def sketches(docs: DataFrame, width: int = 3) -> DataFrame:
 def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
     """Edges that connect the fingerprints of each ``key`` of ``rows`` ``bits`` or fewer apart.
 
-    ``closest`` returns linked pairs, the closer ones first choice; otherwise each
-    fingerprint comes with the first of its component.
+    ``closest`` returns linked pairs, the closer ones first choice, and those with the
+    middle of each key's fingerprints; otherwise each fingerprint comes with the first
+    of its component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +416,7 @@ def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
         table = pa.Table.from_batches(held)
         index = GrayIndex(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64))
         if closest:
-            at, to = index.forest(bits)
+            at, to = (np.concatenate(sides) for sides in zip(index.forest(bits), index.hub(bits)))
         else:
             to = index.components(bits)
             at = np.flatnonzero(to != np.arange(len(to)))
@@ -387,6 +429,32 @@ def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
     return rows.select("key", "fp").repartition("key").mapInArrow(run, "a long, b long")
 
 
+def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
+    """Pairs of a ``key`` of ``rows``, ``bits`` or fewer apart, of different components in ``roots``.
+
+    Keys whose fingerprints are all in one component are left out before the shuffle.
+    """
+    marked = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    marked = materialise(marked.select("key", "fp", F.coalesce("root", "fp").alias("root")))
+    spread = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        keys, fps, root = (table.column(c).to_numpy() for c in ("key", "fp", "root"))
+        index = GrayIndex(keys, fps.view(np.uint64))
+        label = root[np.lexsort((gray_rank(fps.view(np.uint64)), keys))]
+        fp = index.fps.view(np.int64)
+        for at, to in index.across(bits, label):
+            low, high = np.minimum(fp[at], fp[to]), np.maximum(fp[at], fp[to])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    unsettled = marked.join(spread.select("key"), "key", "left_semi")
+    return unsettled.repartition("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """Those of ``edges`` whose texts' shingle sets have a similarity of ``least`` or more.
 
@@ -414,22 +482,30 @@ def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) ->
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, bits: int = 13, least: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group of ``docs``: the one of smallest id.
 
     At the 0.8 shingle similarity of near copies, fingerprints differ in up to some
-    thirteen bits, more than bit blocks can look up. So groups to compare come from
-    min-wise band keys of five-word shingles, and the Gray-order index links within
-    them; a pair it links is checked on its shingle sets. Texts of one fingerprint
-    are one node, however many. Ties of id go to the smaller text hash, and of repeated rows one stays; null ids are the largest.
+    thirteen bits, and rarely in a few more, which bit blocks cannot look up. So groups
+    to compare come from min-wise band keys of five-word shingles, and the Gray-order
+    index links within them; a pair it links is checked on its shingle sets. First come
+    the pairs that span each group and those with its middle, which settle groups of
+    copies in pairs linear in their size; then every pair of a group that these left
+    in different components, so that no link hides behind a pair that failed. Texts of
+    one fingerprint are one node, however many. Ties of id go to the smaller text hash, and of repeated rows one stays; null ids are the largest.
     Documents without a word are copies of each other.
     """
     marks = materialise(sketches(docs))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = materialise(marks.groupBy("fp").agg(F.min(who).alias("who")))
-    nodes = marks.select("fp", F.explode("keys").alias("key")).distinct()
-    edges = materialise(index_links(nodes, bits, closest=True).distinct())
-    roots = connected(alike(docs, named, edges, least))
+    nodes = materialise(marks.select("fp", F.explode("keys").alias("key")).distinct())
+    edges = index_links(nodes, bits, closest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = materialise(edges.distinct())
+    linked = materialise(alike(docs, named, edges, least))
+    rest = materialise(open_links(nodes, connected(linked), bits).join(edges, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        linked = linked.union(alike(docs, named, rest, least))
+    roots = connected(linked)
     keep = named.join(roots, named.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
     keep = materialise(keep.agg(F.min("who").alias("who")).select(F.struct("who.doc_id", "who.text_hash").alias("__key")))
     marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))

@@ -110,3 +110,27 @@ def repeats(rows, width=100):
         kept = bytes(b for b, c in zip(raw, covered) if not c)
         out[key] = (len(raw), sum(covered), spans, sha256(kept).hexdigest())
     return out
+
+
+def near_kept(rows, width=5, least=0.8):
+    """Smallest id of each component of texts whose shingle sets are ``least`` alike or more."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                root[top(i)] = top(j)
+    kept = {}
+    for i, (doc_id, _) in enumerate(rows):
+        kept[top(i)] = min(doc_id, kept.get(top(i), doc_id))
+    return sorted(kept.values())

@@ -152,6 +152,36 @@ def test_near_dedup(spark, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_equals_brute(spark):
+    """Copies of copies: many pairs fall just short of 0.8, and a link may lie behind them."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rnd.randint(0, 9000)}" for _ in range(240)]
+        for _ in range(25):
+            words = list(base)
+            for at in rnd.sample(range(240), rnd.choice([2, 4, 5, 6, 7])):
+                words[at] = f"x{rnd.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute.near_kept(rows)
+
+
+def test_across_equals_all_pairs():
+    rnd = np.random.default_rng(4)
+    fps = (np.uint64(rnd.integers(0, 2**63)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)))
+    index = simhash.GrayIndex(rnd.integers(0, 3, 400), np.unique(fps)[rnd.integers(0, len(np.unique(fps)), 400)])
+    label = rnd.integers(0, 4, 400)
+    found = {tuple(sorted(p)) for at, to in index.across(2, label) for p in zip(at.tolist(), to.tolist())}
+    want = {
+        (i, j) for i in range(400) for j in range(i + 1, 400)
+        if index.keys[i] == index.keys[j] and label[i] != label[j] and int(index.fps[i] ^ index.fps[j]).bit_count() <= 2
+    }
+    assert {p for p in found if p[0] != p[1]} == want
+
+
 def test_rule_counts(docs, empty):
     got = rows_of(rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted(((d, *brute.rule_counts(t)) for d, t in ids_and_texts(docs)), key=repr)

@@ -499,6 +499,9 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = materialise(marks.groupBy("fp").agg(F.min(who).alias("who")))
     nodes = materialise(marks.select("fp", F.explode("keys").alias("key")).distinct())
+    # most keys are of one fingerprint and have nothing to link
+    spread = nodes.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    nodes = materialise(nodes.join(spread.select("key"), "key", "left_semi").select("fp", "key"))
     edges = index_links(nodes, bits, closest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = materialise(edges.distinct())
     linked = materialise(alike(docs, named, edges, least))

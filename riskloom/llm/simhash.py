@@ -87,7 +87,7 @@ class GrayIndex:
     """
 
     def __init__(self, keys: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), keys))
+        self.order = order = np.lexsort((gray_rank(fps), keys))
         self.keys, self.fps = keys[order], fps[order]
         self.levels = []
         group = np.unique(self.keys, return_inverse=True)[1]
@@ -387,24 +387,30 @@ def band_keys(mixed: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp`` and ``keys`` of every row."""
+    """``doc_id``, ``text_hash``, ``node`` (hash of the shingle set), ``fp`` and ``keys`` of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() or "" for t in batch.column(2)]
-        prints = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-        keys = pa.array([band_keys(shingles(t)) for t in texts], pa.list_(pa.int64()))
+        nodes, prints, keys = [], [], []
+        for t in batch.column(2):
+            text = t.as_py() or ""
+            held = shingles(text)
+            nodes.append(xxhash.xxh64_intdigest(held.tobytes()))
+            prints.append(fingerprint(text, width))
+            keys.append(band_keys(held))
+        nodes, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(prints.view(np.int64)), keys], ["doc_id", "text_hash", "fp", "keys"]
+            [*batch.columns[:2], nodes, prints, pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "node", "fp", "keys"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, run, "doc_id long, text_hash long, fp long, keys array<bigint>")
+    return map_rows(rows, run, "doc_id long, text_hash long, node long, fp long, keys array<bigint>")
 
 
-def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
+def index_links(rows: DataFrame, bits: int, closest: bool = False, node: str = "fp") -> DataFrame:
     """Edges that connect the fingerprints of each ``key`` of ``rows`` ``bits`` or fewer apart.
 
-    ``closest`` returns linked pairs, the closer ones first choice, and those with the
+    An edge names its ends by their ``node``. ``closest`` returns linked pairs, the closer ones first choice, and those with the
     middle of each key's fingerprints; otherwise each fingerprint comes with the first
     of its component.
     """
@@ -415,18 +421,18 @@ def index_links(rows: DataFrame, bits: int, closest: bool = False) -> DataFrame:
             return
         table = pa.Table.from_batches(held)
         index = GrayIndex(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64))
+        name = table.column("name").to_numpy()[index.order]
         if closest:
             at, to = (np.concatenate(sides) for sides in zip(index.forest(bits), index.hub(bits)))
         else:
             to = index.components(bits)
             at = np.flatnonzero(to != np.arange(len(to)))
             to = to[at]
-        fp = index.fps.view(np.int64)
         for start in range(0, len(at), 100_000):
             part = slice(start, start + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[at[part]]), pa.array(fp[to[part]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[at[part]]), pa.array(name[to[part]])], ["a", "b"])
 
-    return rows.select("key", "fp").repartition("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "fp", F.col(node).alias("name")).repartition("key").mapInArrow(run, "a long, b long")
 
 
 def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
@@ -434,8 +440,8 @@ def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
 
     Keys whose fingerprints are all in one component are left out before the shuffle.
     """
-    marked = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    marked = materialise(marked.select("key", "fp", F.coalesce("root", "fp").alias("root")))
+    marked = rows.join(roots, "node", "left")
+    marked = materialise(marked.select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
     spread = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,12 +449,11 @@ def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held)
-        keys, fps, root = (table.column(c).to_numpy() for c in ("key", "fp", "root"))
+        keys, name, fps, root = (table.column(c).to_numpy() for c in ("key", "node", "fp", "root"))
         index = GrayIndex(keys, fps.view(np.uint64))
-        label = root[np.lexsort((gray_rank(fps.view(np.uint64)), keys))]
-        fp = index.fps.view(np.int64)
+        name, label = name[index.order], root[index.order]
         for at, to in index.across(bits, label):
-            low, high = np.minimum(fp[at], fp[to]), np.maximum(fp[at], fp[to])
+            low, high = np.minimum(name[at], name[to]), np.maximum(name[at], name[to])
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
     unsettled = marked.join(spread.select("key"), "key", "left_semi")
@@ -458,7 +463,7 @@ def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
 def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """Those of ``edges`` whose texts' shingle sets have a similarity of ``least`` or more.
 
-    ``named`` gives each fingerprint the id and text hash of one of its documents.
+    ``named`` gives each node the id and text hash of one of its documents.
     Only documents on an edge have their shingles worked out.
     """
 
@@ -466,18 +471,18 @@ def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) ->
         sets = pa.array([shingles(t.as_py() or "").view(np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["doc_id", "text_hash", "set"])
 
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialise(ends.join(named, "fp").select("fp", "who.doc_id", "who.text_hash"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(ends.join(named, "node").select("node", "who.doc_id", "who.text_hash"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = rows.withColumn("key", F.struct("doc_id", "text_hash"))
     keys = wanted.select(F.struct("doc_id", "text_hash").alias("key"))
     texts = rows.join(keys, "key", "left_semi").select("doc_id", "text_hash", "text")
     sets = map_rows(texts, run, "doc_id long, text_hash long, set array<bigint>")
     sets = sets.select(F.struct("doc_id", "text_hash").alias("key"), "set")
-    by_print = wanted.select("fp", F.struct("doc_id", "text_hash").alias("key")).join(sets, "key").dropDuplicates(["fp"])
-    by_print = materialise(by_print.select("fp", "set"))
-    both = edges.join(by_print.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
-    both = both.join(by_print.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    by_node = wanted.select("node", F.struct("doc_id", "text_hash").alias("key")).join(sets, "key").dropDuplicates(["node"])
+    by_node = materialise(by_node.select("node", "set"))
+    both = edges.join(by_node.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(by_node.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -492,24 +497,25 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     the pairs that span each group and those with its middle, which settle groups of
     copies in pairs linear in their size; then every pair of a group that these left
     in different components, so that no link hides behind a pair that failed. Texts of
-    one fingerprint are one node, however many. Ties of id go to the smaller text hash, and of repeated rows one stays; null ids are the largest.
-    Documents without a word are copies of each other.
+    one shingle set are one node, however many; those that only share a fingerprint are
+    nodes of their own. Ties of id go to the smaller text hash, and of repeated rows one
+    stays; null ids are the largest. Documents without a word are copies of each other.
     """
     marks = materialise(sketches(docs))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    named = materialise(marks.groupBy("fp").agg(F.min(who).alias("who")))
-    nodes = materialise(marks.select("fp", F.explode("keys").alias("key")).distinct())
-    # most keys are of one fingerprint and have nothing to link
-    spread = nodes.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    nodes = materialise(nodes.join(spread.select("key"), "key", "left_semi").select("fp", "key"))
-    edges = index_links(nodes, bits, closest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = materialise(edges.distinct())
+    named = materialise(marks.groupBy("node").agg(F.min(who).alias("who")))
+    nodes = materialise(marks.select("node", "fp", F.explode("keys").alias("key")).dropDuplicates(["node", "key"]))
+    # most keys are of one node and have nothing to link
+    spread = nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    nodes = materialise(nodes.join(spread.select("key"), "key", "left_semi").select("node", "fp", "key"))
+    edges = index_links(nodes, bits, closest=True, node="node")
+    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = materialise(alike(docs, named, edges, least))
     rest = materialise(open_links(nodes, connected(linked), bits).join(edges, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         linked = linked.union(alike(docs, named, rest, least))
     roots = connected(linked)
-    keep = named.join(roots, named.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    keep = named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     keep = materialise(keep.agg(F.min("who").alias("who")).select(F.struct("who.doc_id", "who.text_hash").alias("__key")))
     marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
     stays = marked.join(keep, "__key", "left_semi")

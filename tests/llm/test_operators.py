@@ -169,6 +169,18 @@ def test_near_dedup_equals_brute(spark):
     assert sorted(r.doc_id for r in got.collect()) == brute.near_kept(rows)
 
 
+def test_near_dedup_one_fingerprint(spark):
+    """One repeated line decides every bit of the fingerprint, whatever else the texts hold."""
+    rnd = random.Random(12)
+    line = " ".join(f"l{i}" for i in range(9))
+    texts = [line + " " + " ".join([line] * 79 + [f"w{rnd.randint(0, 10**6)}" for _ in range(30)]) for _ in range(12)]
+    texts += [texts[0].upper(), texts[5].rsplit(" ", 1)[0] + " other"]
+    assert len({simhash.fingerprint(t) for t in texts}) < len(texts) - 2
+    rows = list(enumerate(texts))
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute.near_kept(rows)
+
+
 def test_across_equals_all_pairs():
     rnd = np.random.default_rng(4)
     fps = (np.uint64(rnd.integers(0, 2**63)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)))

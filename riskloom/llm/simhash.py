@@ -352,6 +352,8 @@ def simhash_groups(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
 
 #: Of the pipeline's near-duplicate groups: min-wise bands, values in each, and words in a shingle.
 BANDS, BAND_ROWS, SHINGLE = 12, 4, 5
+#: 64-bit words of parities that rule pairs out, and nodes of one band key on one side of a task's pairs.
+PARITY_WORDS, CELL = 16, 2048
 
 
 def shingles(text: str) -> np.ndarray:
@@ -386,25 +388,45 @@ def band_keys(mixed: np.ndarray) -> np.ndarray:
     return (keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (hash of the shingle set), ``fp`` and ``keys`` of every row."""
+def set_print(mixed: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, each counted once."""
+    counts = np.zeros(BITS, np.int64)
+    for start in range(0, len(mixed), 65536):
+        part = mixed[start : start + 65536].view(np.uint8)
+        counts += np.unpackbits(part, bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0])
+
+
+def parities(mixed: np.ndarray) -> np.ndarray:
+    """``PARITY_WORDS`` words of bits, each the parity of the hashes that fall on it.
+
+    Two sets' parities differ in no more bits than the sets have members of only one.
+    """
+    odd = np.bincount((mixed >> np.uint64(17)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``node`` (hash of the shingle set), its ``size``, ``fp``, ``odd`` and ``keys`` of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        nodes, prints, keys = [], [], []
+        nodes, sizes, prints, odd, keys = [], [], [], [], []
         for t in batch.column(2):
-            text = t.as_py() or ""
-            held = shingles(text)
+            held = shingles(t.as_py() or "")
             nodes.append(xxhash.xxh64_intdigest(held.tobytes()))
-            prints.append(fingerprint(text, width))
+            sizes.append(len(held))
+            prints.append(set_print(held))
+            odd.append(parities(held))
             keys.append(band_keys(held))
         nodes, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
+        odd, keys = (pa.array(x, pa.list_(pa.int64())) for x in (odd, keys))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], nodes, prints, pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "node", "fp", "keys"],
+            [*batch.columns[:2], nodes, pa.array(sizes, pa.int64()), prints, odd, keys],
+            ["doc_id", "text_hash", "node", "size", "fp", "odd", "keys"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, run, "doc_id long, text_hash long, node long, fp long, keys array<bigint>")
+    return map_rows(rows, run, "doc_id long, text_hash long, node long, size long, fp long, odd array<bigint>, keys array<bigint>")
 
 
 def index_links(rows: DataFrame, bits: int, closest: bool = False, node: str = "fp") -> DataFrame:
@@ -435,29 +457,34 @@ def index_links(rows: DataFrame, bits: int, closest: bool = False, node: str = "
     return rows.select("key", "fp", F.col(node).alias("name")).repartition("key").mapInArrow(run, "a long, b long")
 
 
-def open_links(rows: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
-    """Pairs of a ``key`` of ``rows``, ``bits`` or fewer apart, of different components in ``roots``.
+def open_links(nodes: DataFrame, traits: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs of a ``key`` of ``nodes`` that are of different components in ``roots`` and may be ``least`` alike.
 
-    Keys whose fingerprints are all in one component are left out before the shuffle.
+    ``traits`` has ``size`` and ``odd`` of each node. Keys whose nodes are all in one
+    component are left out before the shuffle. No pair that is ``least`` alike is: sets
+    that alike have sizes in that ratio at least, and differ in no more than
+    (1 - least) / (1 + least) of both sizes, which their parities never exceed. A key
+    of over ``CELL`` nodes meets in several tasks: its one side is dealt out to them, the
+    other sent to each.
     """
-    marked = rows.join(roots, "node", "left")
-    marked = materialise(marked.select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
-    spread = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys, name, fps, root = (table.column(c).to_numpy() for c in ("key", "node", "fp", "root"))
-        index = GrayIndex(keys, fps.view(np.uint64))
-        name, label = name[index.order], root[index.order]
-        for at, to in index.across(bits, label):
-            low, high = np.minimum(name[at], name[to]), np.maximum(name[at], name[to])
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-
-    unsettled = marked.join(spread.select("key"), "key", "left_semi")
-    return unsettled.repartition("key").mapInArrow(run, "a long, b long").distinct()
+    marked = nodes.join(roots, "node", "left")
+    marked = materialise(marked.select("key", "node", F.coalesce("root", "node").alias("root")))
+    spread = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    spread = spread.where("low < high").select("key", F.ceil(F.col("n") / CELL).cast("long").alias("cells"))
+    held = marked.join(spread, "key").join(traits, "node")
+    held = materialise(held.select("key", "cells", "node", "root", "size", "odd"))
+    x = held.withColumn("cell", F.pmod(F.xxhash64("node"), "cells")).alias("x")
+    y = held.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).alias("y")
+    apart = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    both = F.col("x.size") + F.col("y.size")
+    pairs = x.join(
+        y.hint("merge"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell"))
+        & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6)
+        & (apart <= (1 - least) / (1 + least) * both + 1e-6),
+    )
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) -> DataFrame:
@@ -490,13 +517,14 @@ def alike(docs: DataFrame, named: DataFrame, edges: DataFrame, least: float) ->
 def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group of ``docs``: the one of smallest id.
 
-    At the 0.8 shingle similarity of near copies, fingerprints differ in up to some
-    thirteen bits, and rarely in a few more, which bit blocks cannot look up. So groups
-    to compare come from min-wise band keys of five-word shingles, and the Gray-order
-    index links within them; a pair it links is checked on its shingle sets. First come
-    the pairs that span each group and those with its middle, which settle groups of
-    copies in pairs linear in their size; then every pair of a group that these left
-    in different components, so that no link hides behind a pair that failed. Texts of
+    Groups to compare come from min-wise band keys of the texts' sets of five-word
+    shingles, and fingerprints of the same sets order each group. First come pairs that
+    span it, ``bits`` or fewer apart in the Gray-order index, and those with its middle,
+    which settle groups of copies in pairs linear in their size. Then comes every pair
+    of a group that these left in different components, however many bits apart, but
+    those whose sizes or parities rule ``least`` out; so ``bits`` changes the time taken
+    and never a link, and no link hides behind a pair that failed. A pair counts if its
+    shingle sets are ``least`` alike or more. Texts of
     one shingle set are one node, however many; those that only share a fingerprint are
     nodes of their own. Ties of id go to the smaller text hash, and of repeated rows one
     stays; null ids are the largest. Documents without a word are copies of each other.
@@ -504,6 +532,7 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     marks = materialise(sketches(docs))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = materialise(marks.groupBy("node").agg(F.min(who).alias("who")))
+    traits = marks.select("node", "size", "odd").dropDuplicates(["node"])
     nodes = materialise(marks.select("node", "fp", F.explode("keys").alias("key")).dropDuplicates(["node", "key"]))
     # most keys are of one node and have nothing to link
     spread = nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -511,7 +540,7 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     edges = index_links(nodes, bits, closest=True, node="node")
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = materialise(alike(docs, named, edges, least))
-    rest = materialise(open_links(nodes, connected(linked), bits).join(edges, ["a", "b"], "left_anti"))
+    rest = materialise(open_links(nodes, traits, connected(linked), least).join(edges, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         linked = linked.union(alike(docs, named, rest, least))
     roots = connected(linked)

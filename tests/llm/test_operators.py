@@ -181,6 +181,37 @@ def test_near_dedup_one_fingerprint(spark):
     assert sorted(r.doc_id for r in got.collect()) == brute.near_kept(rows)
 
 
+def test_near_dedup_far_fingerprints(spark, monkeypatch):
+    """Lines repeated once or often, and passages appended, move fingerprints by many bits."""
+    monkeypatch.setattr(simhash, "CELL", 5, raising=False)
+    rnd = random.Random(13)
+    texts = []
+    for i in range(12):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)]
+        line = [f"l{rnd.randint(0, 10**6)}" for _ in range(12)]
+        texts += [" ".join(words + line * n) for n in (1, 2, 30, 100)]
+        texts += [" ".join(words + [f"v{rnd.randint(0, 10**6)}" for _ in range(n)]) for n in (73, 74, 80)]
+    shared = [f"s{i}" for i in range(200)]
+    texts += [" ".join(shared + [f"u{rnd.randint(0, 10**6)}" for _ in range(n)]) for n in (20, 30, 45, 60, 90) for _ in range(4)]
+    prints = [simhash.fingerprint(t) for t in texts[:4]]
+    assert (prints[1] ^ prints[3]).bit_count() > 16
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_kept(rows)
+    for bits in (16, 0):
+        assert sorted(r.doc_id for r in simhash.near_dedup(table, bits).collect()) == want
+
+
+def test_parities_rule_no_alike_pair_out():
+    rnd = np.random.default_rng(6)
+    for n in (1, 4, 9, 90, 900, 9000):
+        one = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        two = np.r_[one[n // 9 :], rnd.integers(0, 2**63, n // 9, dtype=np.uint64)]
+        apart = np.bitwise_count((simhash.parities(one) ^ simhash.parities(two)).view(np.uint64)).sum()
+        assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 def test_across_equals_all_pairs():
     rnd = np.random.default_rng(4)
     fps = (np.uint64(rnd.integers(0, 2**63)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import materialise
@@ -38,6 +38,38 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def message_lines(messages: DataFrame) -> DataFrame:
+    """A line for every message that is no call or result, and for the text beside calls.
+
+    The columns are those of ``format_chat``. Repeated rows come out as often as they came in.
+    """
+    j = F.from_json("text", CALLS)
+    held = messages.select(
+        "conv_id", "turn", "role", "text", j["content"].alias("content"),
+        F.coalesce((F.col("role") == "assistant") & (F.size(j["tool_calls"]) > 0), F.lit(False)).alias("calls"),
+        F.coalesce((F.col("role") == "tool") & j["tool_call_id"].isNotNull(), F.lit(False)).alias("result"),
+    )
+    held = held.where(~F.col("result") & (~F.col("calls") | F.col("content").isNotNull()))
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    return held.select(
+        "conv_id", none.cast("string").alias("call_id"), "turn", none.cast("long").alias("depth"),
+        F.lit("message").alias("status"), zero.alias("n_calls"), zero.alias("n_results"), none.cast("boolean").alias("valid"),
+        canonical(content=F.when(F.col("calls"), F.col("content")).otherwise(F.col("text")), role=F.col("role"), turn=F.col("turn")).alias("line"),
+        none.cast("long").alias("use"),
+    )
+
+
+def by_use(rows: DataFrame, *content: str) -> DataFrame:
+    """``rows`` with the how-manieth use of its identifier, in turn order, put before ``call_id``.
+
+    Rows equal in turn and ``content`` are one use. Made as ``use:call_id``, or ``use``
+    alone for a null identifier.
+    """
+    order = Window.partitionBy("conv_id", "call_id").orderBy("turn", *content)
+    use = F.dense_rank().over(order).cast("string")
+    return rows.withColumn("call_id", F.concat(use, F.coalesce(F.concat(F.lit(":"), F.col("call_id")), F.lit(""))))
+
+
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A user turn as a call of ``reply``, the assistant's next turn as its result.
 
@@ -148,7 +180,11 @@ def format_calls(
     A conversation is not gathered into one row or task: its lines are put in order by
     (``conv_id``, ``depth``, ``turn``, ``call_id``).
     """
-    rows = depths(link(calls, results))
+    return as_lines(depths(link(calls, results)), schemas)
+
+
+def as_lines(rows: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]], *more: str) -> DataFrame:
+    """Rows of ``depths`` with their verdict and canonical JSON, and the columns ``more``."""
     arguments = F.try_parse_json(F.col("call.arguments"))
     return rows.select(
         "conv_id",
@@ -163,12 +199,25 @@ def format_calls(
             arguments=arguments, call_id=F.col("call_id"), depth=F.col("depth"), name=F.col("call.name"),
             result=F.col("result.content"),
         ).alias("line"),
+        *more,
     )
 
 
 def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]) -> DataFrame:
-    """Lines of tool calls written as JSON in ``messages``; see ``tool_messages``."""
-    return format_calls(*tool_messages(messages), schemas)
+    """Lines of all ``messages``: tool calls written as JSON (see ``tool_messages``) and plain texts of any role.
+
+    An identifier used again in later turns is a call of its own each time, numbered by
+    ``use``, and takes its results in turn order; ``after`` names a first use. A plain
+    message has the status ``message`` and its role, turn and content in its line.
+    """
+    calls, results = tool_messages(messages)
+    calls = by_use(calls, "name", "arguments", "after").withColumn("after", F.concat(F.lit("1:"), F.col("after")))
+    rows = depths(link(calls, by_use(results, "content")))
+    use = F.regexp_extract("call_id", r"^\d+", 0)
+    own = F.when(F.length("call_id") > F.length(use), F.expr("substring(call_id, instr(call_id, ':') + 1)"))
+    rows = materialise(rows.withColumns({"use": use.cast("long"), "call_id": own}))
+    linked = as_lines(rows, schemas, "use")
+    return linked.unionByName(message_lines(messages))
 
 
 def format_turns(messages: DataFrame) -> DataFrame:

@@ -287,6 +287,23 @@ def test_chat(spark):
     assert got["x"].line == '{"arguments":{"a":1,"b":2},"call_id":"x","depth":1,"name":"add","result":"3"}'
 
 
+def test_chat_keeps_every_message(spark):
+    import json
+
+    def calls(a, **more):
+        return json.dumps({"tool_calls": [{"id": "x", "name": "add", "arguments": {"a": a}, "after": None}], **more})
+
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", calls(1, content="let me see"))]
+    rows += [(1, 3, "tool", json.dumps({"tool_call_id": "x", "content": "one"})), (1, 4, "assistant", calls(2))]
+    rows += [(1, 5, "tool", json.dumps({"tool_call_id": "x", "content": "two"})), (1, 6, "assistant", "done"), (1, 6, "assistant", "done")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(messages, {"add": {"a": ("integer", True)}}).collect()
+    told = sorted((json.loads(r.line)["turn"], json.loads(r.line)["role"], json.loads(r.line)["content"]) for r in got if r.status == "message")
+    assert told == [(0, "system", "be kind"), (1, "user", "hi"), (2, "assistant", "let me see")] + [(6, "assistant", "done")] * 2
+    linked = sorted((r.use, r.call_id, r.turn, json.loads(r.line)["arguments"]["a"], json.loads(r.line)["result"]) for r in got if r.status == "linked")
+    assert linked == [(1, "x", 2, 1, "one"), (2, "x", 4, 2, "two")] and len(got) == 7
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(4)
     x = rnd.standard_normal((300, 16)).astype(np.float32)

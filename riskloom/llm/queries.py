@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, chat, licenses, mixing, quality, rules, secrets, simhash, suffix
+from riskloom.llm import ann, bpe, chat, filters, licenses, minhash, mixing, phrases, quality, rules, secrets, simhash, suffix
 from riskloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,115 @@ from placed p join chain on chain.conv_id = p.conv_id and chain.call_id = p.call
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_minhash"] = """
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w from documents),
+grams as (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as g from split),
+sets as (select dense_rank() over (order by list_sort(g)) as node, doc_id, g, len(g) as n from grams),
+nodes as (select node, any_value(g) as g, any_value(n) as n from sets where n > 0 group by node),
+members as (select node, n, unnest(g) as s from nodes),
+shared as (
+  select x.node as a, y.node as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as common
+  from members x join members y on x.s = y.s and x.node < y.node
+    and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by x.node, y.node),
+links as (select a, b from shared where 100 * common >= 80 * (n + m - common)),
+edges as (select a, b from links union select b, a from links),
+reach as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+ids as (select node, min(doc_id) as first from sets where n > 0 group by node),
+least_ids as (
+  select i.node, least(min(i.first), min(j.first)) as component_id
+  from ids i left join reach r on r.a = i.node left join ids j on j.node = r.b group by i.node),
+grouped as (
+  select s.doc_id, s.n::bigint as n_shingles, case when s.n = 0 then s.doc_id else l.component_id end as component_id
+  from sets s left join least_ids l on l.node = s.node)
+select doc_id, n_shingles, component_id, doc_id is not distinct from component_id as kept from grouped
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = """
+with split as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+known as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+failed as (
+  select part, coalesce(k.good, 0) as good, coalesce(k.toxic, 0) as toxic, {
+    'A': len(w) < 100,
+    'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(s.doc_id > min(s.doc_id) over (partition by text), false)} as f
+  from split s left join known k on k.doc_id = s.doc_id),
+cells as (select part, f, count(*) as c, sum(good) as good, sum(toxic) as toxic from failed group by part, f),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (select filter_order, step, filter_order[step] as l, filter_order[1:step - 1] as before from orders, range(1, 6) t(step)),
+hits as (
+  select part, c, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: case x when 'A' then f.A when 'B' then f.B
+    when 'C' then f.C when 'D' then f.D else f.E end) as fails from cells),
+walked as (
+  select part, filter_order, step, l, c, good, toxic, list_contains(fails, l) as fails_it, len(fails) as n_fails,
+    len(list_filter(fails, lambda x: contains(before, x))) > 0 as gone from hits, steps),
+counted as (
+  select part, filter_order, step::int as step, l,
+    sum(case when not gone and not fails_it then c else 0 end)::bigint as kept,
+    sum(case when not gone and fails_it then c else 0 end)::bigint as removed,
+    sum(case when gone and fails_it then c else 0 end)::bigint as redundant,
+    sum(case when fails_it and n_fails = 1 then c else 0 end)::bigint as unique_fails,
+    sum(case when not gone and fails_it then good else 0 end)::bigint as good_lost,
+    sum(case when not gone and fails_it then toxic else 0 end)::bigint as toxic_lost
+  from walked group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, l))::bigint as shapley from counted
+"""
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_mining"] = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+split as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+grams as (
+  select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as phrase
+  from split, range(1, 5) t(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30),
+totals as (select lang, sum(len(w))::bigint as n from split group by lang),
+many as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+cuts as (
+  select m.lang, m.phrase, m.a, cut, x.f as l, y.f as r, ((2000000::hugeint * m.a) // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, k)) as cut from many) m
+  join f x on x.lang = m.lang and x.phrase = array_to_string(m.w[1:cut], ' ')
+  join f y on y.lang = m.lang and y.phrase = array_to_string(m.w[cut + 1:], ' ')),
+scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ones as (
+  select lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from many where k > 2))),
+over_ones as (select lang, phrase, max(a) as most from inner_ones group by all),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+  from scored s left join over_ones o on o.lang = s.lang and o.phrase = s.phrase
+  where o.most is null or 100::hugeint * o.most < 80::hugeint * s.a)
+select r.lang, rank::bigint as rank, r.phrase, r.a, r.l, r.r, t.n, r.score from ranked r join totals t on t.lang = r.lang where rank <= 2000
+"""

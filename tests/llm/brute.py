@@ -134,3 +134,95 @@ def near_kept(rows, width=5, least=0.8):
     for i, (doc_id, _) in enumerate(rows):
         kept[top(i)] = min(doc_id, kept.get(top(i), doc_id))
     return sorted(kept.values())
+
+
+def jaccard_groups(rows, width=4, least=80):
+    """(doc_id, n_shingles, component_id, kept) for (doc_id, text) rows, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(PLAIN, ascii_lower(text or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * shared >= least * (len(sets[i]) + len(sets[j]) - shared):
+                root[top(i)] = top(j)
+    first = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            first[top(i)] = min(doc_id, first.get(top(i), doc_id))
+    return [(d, len(s), first.get(top(i)), d == first.get(top(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def filter_orders(rows, labels):
+    """Rows of the audit for (doc_id, text, lang) and (doc_id, quality, toxic), each order run on its own."""
+    from itertools import permutations
+
+    least = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    by_part = {}
+    for d, t, lang in rows:
+        words = re.findall(PLAIN, t or "")
+        fails = "".join(
+            letter for letter, failed in (
+                ("A", len(words) < 100), ("B", 100 * len(set(words)) < 80 * len(words)),
+                ("C", 100 * len(re.findall("[A-Z]", t or "")) > 10 * len(t or "")), ("D", re.search(r"[#$%&*|]", t or "")),
+                ("E", d is not None and d > least[t or ""]),
+            ) if failed
+        )
+        by_part.setdefault(lang or "", []).append((d, fails))
+    out = []
+    for part, held in by_part.items():
+        total = Counter()
+        steps = []
+        for order in permutations("ABCDE"):
+            left = list(held)
+            for step, letter in enumerate(order, 1):
+                gone = [x for x in left if letter in x[1]]
+                left = [x for x in left if letter not in x[1]]
+                total[letter] += len(gone)
+                fails = sum(letter in f for _, f in held)
+                steps.append((part, "".join(order), step, len(left), len(gone), fails - len(gone),
+                              sum(f == letter for _, f in held), sum(d in good for d, _ in gone), sum(d in toxic for d, _ in gone), letter))
+        out += [(*s[:-1], total[s[-1]]) for s in steps]
+    return sorted(out)
+
+
+def phrase_ranks(rows, longest=4, least=30, top=2000):
+    """Rows of the collocations for (text, lang), every phrase counted as text."""
+    counts, totals = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        held = counts.setdefault(lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for n in range(1, longest + 1):
+                held.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = []
+    for lang, held in counts.items():
+        many = {p: a for p, a in held.items() if len(p) > 1 and a >= least}
+        over = {}
+        for p, a in many.items():
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    over[p[i : i + n]] = max(a, over.get(p[i : i + n], 0))
+        ranked = []
+        for p, a in many.items():
+            score, _, l, r = min((2000000 * a // (held[p[:k]] + held[p[k:]]), k, held[p[:k]], held[p[k:]]) for k in range(1, len(p)))
+            if 100 * over.get(p, 0) < 80 * a:
+                ranked.append((-score, -a, " ".join(p).encode(), l, r))
+        ranked.sort()
+        out += [(lang, i, p.decode(), -a, l, r, totals[lang], -s) for i, (s, a, p, l, r) in enumerate(ranked[:top], 1)]
+    return sorted(out)

@@ -344,4 +344,4 @@ def test_pipeline_keeps_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*docs.columns, "ids", "n_tokens"] and 0 < out.count() < 2 * docs.count()
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13

@@ -7,6 +7,7 @@ import codecs
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from operator import itemgetter
 
 import numpy as np
@@ -19,7 +20,12 @@ from riskloom.llm.tables import map_rows
 
 ROOT = 0
 #: Entries a worker remembers before it starts anew; forgetting costs time, not results.
-WORDS_KEPT, PIECES_KEPT, STEPS_KEPT, PAIRS_KEPT = 200_000, 150_000, 400_000, 200_000
+#: None holds more than some 300 bytes (words of 64 characters at most), so all stay below 50 MB.
+WORDS_KEPT, PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 150_000, 40_000, 120_000, 150_000
+#: Marks that end words, and the first code point after the Latin letters.
+MARKS, LATIN = frozenset(".,;:!?"), chr(0x250)
+#: Rows of a batch encoded or decoded before they are sent on.
+ROWS_SENT = 1000
 NEVER = 1 << 60
 #: Bytes after which the transducer looks for tokens to emit; above the longest token.
 LOOK_BACK = 4096
@@ -31,6 +37,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class State(dict):
+    """The open boundaries, and by byte the state after it with the last token of the text so far.
+
+    Steps are made when first taken.
+    """
+
+    __slots__ = ("open", "owner")
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        return self.owner.step(self, byte)
+
+
 class Transducer:
     """Encodes one piece of text from left to right.
 
@@ -69,10 +87,15 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        start = ((-1, ROOT),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self.state_of(((-1, ROOT),))
+
+    def state_of(self, open_: tuple) -> State:
+        state = self.states.get(open_)
+        if state is None:
+            state = self.states[open_] = State()
+            state.open, state.owner = open_, self
+        return state
 
     def merges(self, piece: bytes) -> Iterator[list[bytes]]:
         """The parts after each merge: always the pair of lowest rank, the first of equals."""
@@ -143,11 +166,11 @@ class Transducer:
             self.pairs[key] = held
         return held
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, state: State, byte: int) -> tuple[State, int]:
         """The next state and the last token of the text so far."""
         child, inner, token_at = self.child, self.inner, self.token_at
         after, ended = [], -1
-        for last, node in self.states[state]:
+        for last, node in state.open:
             node = child.get(node << 8 | byte, -1)
             if node < 0:
                 continue
@@ -160,13 +183,8 @@ class Transducer:
         if ended < 0:
             raise ValueError("the vocabulary lacks a byte")
         after.append((ended, ROOT))
-        made = tuple(after)
-        number = self.number.get(made)
-        if number is None:
-            number = self.number[made] = len(self.states)
-            self.states.append(made)
-        self.steps[state << 8 | byte] = number, ended
-        return number, ended
+        made = state[byte] = self.state_of(tuple(after)), ended
+        return made
 
     def back(self, lasts: list[int], end: int) -> list[int]:
         """Tokens of the first ``end`` bytes, from the last token of each prefix."""
@@ -180,14 +198,14 @@ class Transducer:
 
     def stream(self, piece: bytes) -> Iterator[list[int]]:
         """Tokens of a piece in runs, each as soon as later bytes cannot change it."""
-        if len(self.steps) > STEPS_KEPT:
-            self.forget()
-        steps, state, lasts = self.steps, 0, [-1]
+        state, lasts = self.start, [-1]
         for byte in piece:
-            found = steps.get(state << 8 | byte)
-            state, last = found if found is not None else self.step(state, byte)
+            state, last = state[byte]
             lasts.append(last)
             if len(lasts) > LOOK_BACK:
+                if len(self.states) > STATES_KEPT:
+                    self.forget()
+                    state = self.state_of(state.open)
                 sure = self.certain(lasts)
                 if sure:
                     yield self.back(lasts, sure)
@@ -212,12 +230,11 @@ class Transducer:
             return [whole]
         if len(piece) > LOOK_BACK:
             return [token for run in self.stream(piece) for token in run]
-        steps, state, lasts = self.steps, 0, [-1]
+        state, lasts = self.start, [-1]
         for byte in piece:
-            found = steps.get(state << 8 | byte) or self.step(state, byte)
-            state = found[0]
-            lasts.append(found[1])
-        if len(steps) > STEPS_KEPT:
+            state, last = state[byte]
+            lasts.append(last)
+        if len(self.states) > STATES_KEPT:
             self.forget()
         return self.back(lasts, len(piece))
 
@@ -228,8 +245,11 @@ class Pieces(dict):
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
 
+    def fresh(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode("utf-8"))).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        packed = array("i", self.transducer.encode(piece.encode("utf-8"))).tobytes()
+        packed = self.fresh(piece)
         if len(piece) < 64:
             if len(self) > PIECES_KEPT:
                 self.clear()
@@ -242,13 +262,22 @@ class Words(dict):
 
     def __init__(self, split: Callable[[str], list[str]], pieces: Pieces):
         self.split, self.pieces = split, pieces
+        letters = "".join(filter(str.isalpha, map(chr, range(ord(LATIN)))))
+        marked = [split(f" {c}{mark}") == [f" {c}", mark] for c in letters for mark in MARKS]
+        #: The pattern takes a space and Latin letters as one piece, and a mark after them as another.
+        self.plain = split(f" {letters}") == [f" {letters}"] and all(marked)
 
     def packed(self, text: str) -> bytes:
         pieces = self.pieces
         return b"".join([pieces[piece] for piece in self.split(text)])
 
     def __missing__(self, word: str) -> bytes:
-        packed = self.packed(f" {word}")
+        if self.plain and word.isalpha() and max(word) < LATIN:
+            packed = self.pieces.fresh(f" {word}")
+        elif self.plain and word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN:
+            return self[word[:-1]] + self.pieces[word[-1]]
+        else:
+            packed = self.packed(f" {word}")
         if len(word) < 64:
             if len(self) > WORDS_KEPT:
                 self.clear()
@@ -263,7 +292,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
-        self.words = Words(regex.compile(pattern).findall, Pieces(Transducer(self.ranks)))
+        self.pattern = pattern
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -275,6 +304,11 @@ class Codec:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    @cached_property
+    def words(self) -> Words:
+        """Made when first needed: a decoder holds no transducer."""
+        return Words(regex.compile(self.pattern).findall, Pieces(Transducer(self.ranks)))
+
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text.
 
@@ -310,14 +344,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.array().cast("array<int>").alias(ids_column)).schema
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        found = [codec.encode(t.as_py() or "") for t in batch.column(len(kept))]
-        ends = np.cumsum([0, *map(len, found)])
-        if ends[-1] >= 1 << 31:
-            raise ValueError("a batch holds over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], [*kept, ids_column])
+        for start in range(0, whole.num_rows, ROWS_SENT):
+            batch = whole.slice(start, ROWS_SENT)
+            found = [codec.encode(t.as_py() or "") for t in batch.column(len(kept))]
+            ends = np.cumsum([0, *map(len, found)])
+            if ends[-1] >= 1 << 31:
+                raise ValueError("a batch holds over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], [*kept, ids_column])
 
     return map_rows(rows, run, schema)
 
@@ -328,17 +364,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids",
     schema = encoded.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(text_column)).schema
     schema[text_column].nullable = True
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        ids = batch.column(batch.schema.get_field_index(ids_column))
-        texts = []
-        for row in ids:
-            held = None if not row.is_valid else row.values.to_numpy()
-            if held is None:
-                texts.append(None)
-            else:
-                chunks = (held[i : i + 65536].tolist() for i in range(0, len(held), 65536))
-                texts.append("".join(codec.decode(chunks)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_column])
+        for start in range(0, whole.num_rows, ROWS_SENT):
+            batch, texts = whole.slice(start, ROWS_SENT), []
+            for row in batch.column(batch.schema.get_field_index(ids_column)):
+                held = None if not row.is_valid else row.values.to_numpy()
+                if held is None:
+                    texts.append(None)
+                else:
+                    chunks = (held[i : i + 65536].tolist() for i in range(0, len(held), 65536))
+                    texts.append("".join(codec.decode(chunks)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_column])
 
     return map_rows(encoded.select(*[F.col(f"`{c}`") for c in kept]), run, schema)

@@ -148,7 +148,7 @@ def ratio_d15_addr(spark, sf):
 def group_stat_lookup_hot_split(spark, sf):
     """The lookup beyond the broadcast limit: hot keys broadcast, the rest shuffled."""
     df = filled(spark, sf)
-    out = GroupStats.fit(df, AMOUNT).transform(df, broadcast_rows=0)
+    out = GroupStats.fit(df, AMOUNT).transform(df, broadcast_bytes=0)
     return out.select("TransactionID", *[r6(c) for c in out.columns if c not in df.columns])
 
 
@@ -230,7 +230,7 @@ def label_encode_shuffled(spark, sf):
     df = filled(spark, sf).select(
         "TransactionID", F.concat("P_emaildomain", F.lit("/"), F.col("card1").cast("string")).alias("t")
     )
-    return encode.LabelEncoder.fit(df).transform(df, broadcast_rows=0)
+    return encode.LabelEncoder.fit(df).transform(df, broadcast_bytes=0)
 
 
 @query(

@@ -7,19 +7,21 @@ once, values adding up, stream equal to batch) the query returns its count.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.catalog.registry import query, rounded, s6
 from riskloom.operators import explain
+from riskloom.operators.clean import dedup_keep_first
 from riskloom.operators.reduce import block_from_array
-from riskloom.operators.sampling import sample_rows, stratified_split
+from riskloom.operators.sampling import sample_rows, stratified_kfold, stratified_split
 from riskloom.plans.features import FeaturePlan, PlanOptions
 from riskloom.plans.jobs import risk_job, score_rows, single_model_job, submission_job, train_job
-from riskloom.plans.models import train
+from riskloom.plans.models import BASE_MODELS, train
 from riskloom.plans.stack import train_stack
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, materialise
 from riskloom.sources import sinks
 from riskloom.sources.fixtures import view
 from riskloom.sources.state import FittedState, load_state, save_state
@@ -27,7 +29,8 @@ from riskloom.sources.tables import read_table
 from riskloom.streaming.scoring import read_arriving, score_stream
 
 KEY, LABEL, FEATURES = "TransactionID", "isFraud", ["x1", "x2", "x3"]
-QUICK = dict(size="small", k=2, base_models=("rf", "xgb"))
+#: The four base models and both metas at full settings, with few rounds and folds.
+QUICK = dict(size="short", k=2)
 
 
 def scratch(spark, name: str) -> str:
@@ -43,7 +46,7 @@ def _register_single(query_name: str, preset: str) -> None:
     def run(spark, sf):
         """Fit on the training part, score every row."""
         rows = stratified_split(learnable(spark, sf), KEY, LABEL).persist()
-        model = train(rows.where("is_test = 0"), preset, FEATURES, LABEL, "small", key=KEY)
+        model = train(rows.where("is_test = 0"), preset, FEATURES, LABEL, "short", key=KEY)
         return model.score(rows, "model").select(KEY, LABEL, "is_test", "model_prob", "model_pred")
 
 
@@ -64,7 +67,7 @@ for _name, _preset in {
 @query("stack_oof")
 def stack_oof(spark, sf):
     """Out-of-fold labels and probabilities of the four base models."""
-    return train_stack(learnable(spark, sf), FEATURES, KEY, LABEL, k=3, size="small").meta_table
+    return train_stack(learnable(spark, sf), FEATURES, KEY, LABEL, **QUICK).meta_table
 
 
 @query(
@@ -78,7 +81,7 @@ def stack_oof(spark, sf):
 def stack_oof_coverage(spark, sf):
     """Each row is scored once, in its own fold, with probabilities in [0, 1]."""
     meta = train_stack(learnable(spark, sf), FEATURES, KEY, LABEL, **QUICK).meta_table
-    good = F.col("rf_prob").between(0, 1) & F.col("xgb_prob").between(0, 1)
+    good = reduce(lambda a, b: a & b, [F.col(f"{m}_prob").between(0, 1) for m in BASE_MODELS])
     return meta.groupBy("fold", LABEL).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(KEY).alias("n_ids"),
@@ -104,9 +107,9 @@ ADDITIVE = "select count(*) as n_rows, 0::bigint as n_not_additive from learnabl
 
 def _additive(spark, sf, preset: str):
     df = learnable(spark, sf).persist()
-    model = train(df, preset, FEATURES, LABEL, "small")
-    values, base = explain.tree_attribution(model, df, KEY, FEATURES)
-    total = values.groupBy(KEY).agg(F.sum("shap_value").alias("total"))
+    model = train(df, preset, FEATURES, LABEL, "short")
+    vectors, base = explain.tree_vectors(model, df, KEY, FEATURES)
+    total = vectors.select(KEY, F.aggregate("phi", F.lit(0.0), lambda a, b: a + b).alias("total"))
     output = "probability" if preset == "rf" else "rawPrediction"
     joined = model.transform(df).join(total, KEY)
     gap = F.abs(vector_to_array(F.col(output))[1] - F.col("total") - F.lit(base))
@@ -116,7 +119,7 @@ def _additive(spark, sf, preset: str):
 @query("tree_attribution")
 def tree_attribution(spark, sf):
     df = learnable(spark, sf)
-    model = train(df, "xgb", FEATURES, LABEL, "small")
+    model = train(df, "xgb", FEATURES, LABEL, "short")
     return explain.tree_attribution(model, df, KEY, FEATURES)[0]
 
 
@@ -146,10 +149,125 @@ def linear_attribution(spark, sf):
 
 @query("permutation_attribution")
 def permutation_attribution(spark, sf):
-    """Sampled Shapley values of a network for every row."""
+    """Sampled Shapley values of a network for every row, against the whole table."""
     df = learnable(spark, sf)
-    model = train(df, "mlp", FEATURES, LABEL, "small", {"hidden": [8, 4], "maxIter": 20})
-    return explain.permutation_attribution(model, df, KEY, FEATURES, df, draws=2, background_rows=20)
+    model = train(df, "mlp", FEATURES, LABEL, "short")
+    return explain.permutation_attribution(model, df, KEY, FEATURES, df, draws=4)
+
+
+@query("permutation_attribution_adds_up", ["learnable"], ADDITIVE)
+def permutation_attribution_adds_up(spark, sf):
+    """A network's drawn values add up to its probability less that of the rows drawn."""
+    df = learnable(spark, sf)
+    model = train(df, "mlp", FEATURES, LABEL, "short")
+    vectors = explain.permutation_vectors(model, df, KEY, FEATURES, df, draws=2)
+    total = F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    gap = F.abs(F.col("m_prob") - total - F.col("base"))
+    joined = model.score(df, "m").join(vectors, KEY)
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(gap > 1e-9).alias("n_not_additive"))
+
+
+WALKED = "select count(*) as n_rows, 0::bigint as n_different from learnable"
+
+
+def _register_walk(query_name: str, preset: str) -> None:
+    @query(query_name, ["learnable"], WALKED)
+    def run(spark, sf):
+        """The model's scores are those of a walk down its node table by joins."""
+        df = learnable(spark, sf)
+        return _walked(train(df, preset, FEATURES, LABEL, "short"), df, FEATURES)
+
+
+def _walked(model, df, features: list[str]):
+    walked = explain.walk_trees(explain.ensemble_nodes(model, df.sparkSession), df, KEY, features, model.params["maxDepth"])
+    output = "probability" if model.params["kind"] == "forest" else "rawPrediction"
+    gap = F.abs(vector_to_array(F.col(output))[1] - F.col("margin"))
+    joined = model.transform(df).join(walked, KEY)
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~(gap <= 1e-9)).alias("n_different"))
+
+
+for _name, _preset in {
+    "walk_rf": "rf",
+    "walk_gbt_leafwise": "lgb",
+    "walk_gbt_histogram": "xgb",
+    "walk_gbt_symmetric": "catboost",
+    "walk_rf_contrast": "contrast_rf",
+    "walk_gbt_contrast": "contrast_xgb",
+}.items():
+    _register_walk(_name, _preset)
+
+
+@query("walk_stack", ["learnable"], "select model, count(*) as n_rows, 0::bigint as n_different from learnable, "
+       "(values ('meta_pred'), ('meta_prob')) m(model) group by model")
+def walk_stack(spark, sf):
+    """Both meta learners of a four-model stack, walked on the columns the base models give."""
+    df = learnable(spark, sf)
+    stack = train_stack(df, FEATURES, KEY, LABEL, **QUICK).model
+    scored = materialise(stack.score(df))
+    parts = []
+    for name, model in stack.meta.items():
+        rows = scored.select(KEY, *model.features)
+        parts.append(_walked(model, rows, model.features).withColumn("model", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("logistic_is_optimal", ["learnable"], """select feature, true as is_flat
+       from (values ('x1'), ('x2'), ('x3'), ('intercept')) f(feature)""")
+def logistic_is_optimal(spark, sf):
+    """The penalised loss has no slope left at the fitted coefficients, nor at the intercept."""
+    df = learnable(spark, sf)
+    learner = train(df, "log", FEATURES, LABEL, "full").learner
+    margin = sum((F.col(c) * F.lit(float(w)) for c, w in zip(FEATURES, learner.coefficients)), F.lit(float(learner.intercept)))
+    off = 1.0 / (1.0 + F.exp(-margin)) - F.col(LABEL)
+    slopes = [F.avg(off * F.col(c)) + F.lit(learner.getRegParam() * float(w)) for c, w in zip(FEATURES, learner.coefficients)]
+    row = df.agg(*[s.alias(c) for c, s in zip(FEATURES, slopes)], F.avg(off).alias("intercept"))
+    lines = [F.struct(F.lit(c).alias("feature"), (F.abs(F.col(c)) < 1e-4).alias("is_flat")) for c in (*FEATURES, "intercept")]
+    return row.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+
+
+@query("svm_is_calibrated", ["learnable"], "select cast(fold as int) as fold, true as is_calibrated from range(5) t(fold)")
+def svm_is_calibrated(spark, sf):
+    """On the fold a machine never saw, its mean probability is the fold's smoothed share of positives."""
+    df = learnable(spark, sf)
+    model = train(df, "svm", FEATURES, LABEL, "short", key=KEY)
+    folded = stratified_kfold(df, KEY, LABEL, len(model.machines))
+    margins = F.array(*[
+        sum((F.col(c) * F.lit(float(w)) for c, w in zip(FEATURES, m.coefficients)), F.lit(float(m.intercept))) for m in model.machines
+    ])
+    lines = F.array(*[F.struct(F.lit(float(s.coefficients[0])).alias("a"), F.lit(float(s.intercept)).alias("b")) for s in model.sigmoids])
+    own = F.get(lines, F.col("fold"))
+    p = 1.0 / (1.0 + F.exp(-(F.get(margins, F.col("fold")) * own["a"] + own["b"])))
+    n, hits = F.count(F.lit(1)), F.sum(LABEL)
+    target = (hits * (hits + 1.0) / (hits + 2.0) + (n - hits) / (n - hits + 2.0)) / n
+    found = folded.groupBy("fold").agg((F.abs(F.avg(p) - target) < 1e-3).alias("is_calibrated"))
+    return found.select("fold", "is_calibrated")
+
+
+def _node(inputs: str, last: bool):
+    def value(p):
+        total = F.aggregate(F.zip_with(F.col(inputs), p["w"], lambda x, y: x * y), p["b"], lambda s, v: s + v)
+        return F.exp(total) if last else 1.0 / (1.0 + F.exp(-total))
+
+    return value
+
+
+@query("network_forward", ["learnable"], WALKED)
+def network_forward(spark, sf):
+    """The network's probability is its layers written out as column expressions."""
+    df = learnable(spark, sf)
+    model = train(df, "mlp", FEATURES, LABEL, "short")
+    layers, weights = model.learner.getLayers(), model.learner.weights.toArray()
+    values, at = F.array(*[F.col(c) for c in FEATURES]), 0
+    out = df.select(KEY, values.alias("h0"))
+    for i, (n, m) in enumerate(zip(layers, layers[1:])):
+        # column by column: all weights into the first node come with a stride of m
+        w, b = weights[at : at + n * m].reshape(n, m).T, weights[at + n * m : at + n * m + m]
+        at += (n + 1) * m
+        pairs = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in row]).alias("w"), F.lit(float(c)).alias("b")) for row, c in zip(w, b)])
+        out = out.select(KEY, F.transform(pairs, _node(f"h{i}", i == len(layers) - 2)).alias(f"h{i + 1}"))
+    ends = F.col(f"h{len(layers) - 1}")
+    joined = model.score(df, "m").join(out.select(KEY, (ends[1] / (ends[0] + ends[1])).alias("p")), KEY)
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~(F.abs(F.col("p") - F.col("m_prob")) <= 1e-9)).alias("n_different"))
 
 
 @query("build_features")
@@ -170,10 +288,8 @@ def train_everything(spark, sf):
 
 @query("importance_from_training")
 def importance_from_training(spark, sf):
-    report = train_job(
-        view(spark, sf, "txn"), view(spark, sf, "identity"), size="small", k=2, base_models=("xgb",), explain_rows=None
-    )
-    return report.importance
+    """Mean attributions of all four base models over the whole hold-out."""
+    return train_job(view(spark, sf, "txn"), view(spark, sf, "identity"), **QUICK).importance
 
 
 _FITTED: dict[tuple[str, str], FittedState] = {}
@@ -193,7 +309,7 @@ def _state(spark, sf) -> FittedState:
     plan = FeaturePlan.fit(rows, PlanOptions())
     features = plan.transform(rows, [LABEL]).persist()
     try:
-        stack = train_stack(features, plan.features, KEY, LABEL, size="small", k=2, base_models=("xgb",)).model
+        stack = train_stack(features, plan.features, KEY, LABEL, **QUICK).model
     finally:
         features.unpersist()
     _FITTED[run] = FittedState(plan, stack)
@@ -273,14 +389,41 @@ def stream_equals_batch(spark, sf):
     )
 
 
+@query(
+    "score_stream_repeated",
+    ["txn"],
+    "select count(*) as n_rows, 0::bigint as n_different from txn",
+)
+def repeated_ids_on_a_stream(spark, sf):
+    """Ids that repeat within and across files are scored once, with the row the batch keeps."""
+    state = _state(spark, sf)
+    source, output = scratch(spark, "arriving"), scratch(spark, "scored")
+    rows, identity = view(spark, sf, "txn_dup").drop(LABEL), view(spark, sf, "identity")
+    together = F.col(KEY) % 20 == 0  # both rows of these ids come in one file
+    for i, part in enumerate((together, ~together & (F.col("seq") == 0), ~together & (F.col("seq") == 1))):
+        rows.where(part).coalesce(1).write.mode("append").parquet(source)
+    arriving = read_arriving(spark, source, rows.schema, files_per_batch=1)
+    score_stream(state, arriving, output, scratch(spark, "offsets"), identity, order=["seq"]).awaitTermination()
+    streamed = spark.read.parquet(output).select(KEY, F.col("fraud_probability").alias("streamed"))
+    first = dedup_keep_first(rows, KEY, ["seq"])
+    both = streamed.join(score_rows(state, first, identity), KEY)
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~(F.abs(F.col("streamed") - F.col("fraud_probability")) <= 1e-9)).alias("n_different"),
+    )
+
+
 def _register_contrast(query_name: str, preset: str) -> None:
     @query(query_name)
     def run(spark, sf):
         """One comparison run on the transactions; its prediction rows."""
-        return single_model_job(view(spark, sf, "txn"), view(spark, sf, "identity"), preset, size="small").predictions
+        return single_model_job(view(spark, sf, "txn"), view(spark, sf, "identity"), preset, size="short").predictions
 
 
-for _name, _preset in {"contrast_run": "log", "contrast_run_forest": "contrast_rf"}.items():
+for _name, _preset in {
+    "contrast_run": "log", "contrast_run_forest": "contrast_rf", "contrast_run_boosted": "contrast_xgb",
+    "contrast_run_network": "mlp", "contrast_run_svm": "svm",
+}.items():
     _register_contrast(_name, _preset)
 
 

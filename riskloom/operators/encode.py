@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import finite
 from riskloom.operators.clean import numeric_columns, replace_columns, string_columns
-from riskloom.operators.lookup import BROADCAST_ROWS, lookup_join
+from riskloom.operators.lookup import BROADCAST_BYTES, lookup_join, row_bytes
 from riskloom.operators.ordering import sorted_position
 from riskloom.operators.profile import narrow_frequencies, value_frequencies
 from riskloom.session import materialise
@@ -26,13 +26,14 @@ class LabelEncoder:
 
     columns: list[str]
     table: DataFrame  # feature, value, n, code
-    sizes: dict[str, int]
+    sizes: dict[str, int]  # distinct values
+    bytes: dict[str, int]
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str] | None = None) -> LabelEncoder:
         columns = columns if columns is not None else string_columns(df)
         if not columns:
-            return cls([], df.sparkSession.createDataFrame([], "feature string, value string, n long, code long"), {})
+            return cls([], df.sparkSession.createDataFrame([], "feature string, value string, n long, code long"), {}, {})
         placed = sorted_position(value_frequencies(df, columns), ["feature", "value"])
         first = placed.groupBy("feature").agg(F.min("position").alias("first"))
         coded = placed.join(F.broadcast(first), "feature").select(
@@ -42,11 +43,12 @@ class LabelEncoder:
 
     @classmethod
     def from_table(cls, table: DataFrame, columns: list[str]) -> LabelEncoder:
-        sizes = {r["feature"]: r["count"] for r in table.groupBy("feature").count().collect()} if columns else {}
-        return cls(columns, table, sizes)
+        counts = table.groupBy("feature").agg(F.count("*").alias("n"), F.sum(row_bytes(table)).alias("bytes"))
+        found = counts.collect() if columns else []
+        return cls(columns, table, {r["feature"]: r["n"] for r in found}, {r["feature"]: r["bytes"] for r in found})
 
     def transform(
-        self, df: DataFrame, suffix: str = "", unseen: int = -1, broadcast_rows: int = BROADCAST_ROWS
+        self, df: DataFrame, suffix: str = "", unseen: int = -1, broadcast_bytes: int = BROADCAST_BYTES
     ) -> DataFrame:
         """Replace each column by its code, or add ``<column><suffix>``."""
         columns = [c for c in self.columns if c in df.columns]
@@ -62,7 +64,7 @@ class LabelEncoder:
             codes = self.table.where(F.col("feature") == c).select(
                 F.col("value").alias(c), "n", F.col("code").alias(f"_code_{c}")
             )
-            df = lookup_join(df, codes, c, self.sizes[c], broadcast_rows=broadcast_rows)
+            df = lookup_join(df, codes, c, self.bytes[c], broadcast_bytes=broadcast_bytes)
             new[c + suffix] = F.coalesce(F.col(f"_code_{c}"), F.lit(unseen).cast("long"))
         return replace_columns(df, new).select(*order, *[c for c in new if c not in order])
 

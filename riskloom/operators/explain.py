@@ -5,250 +5,447 @@ adds, for feature i on its path, value * (o_i - z_i) * integral over t in [0,1]
 the product of (t*o_j + (1-t)*z_j) over the other features j, where o says whether
 the row takes the path's branches on j and z is the share of training rows that
 do. The integrand is a polynomial, so Gauss-Legendre nodes integrate it exactly.
+
+A model stays a table of nodes. Each tree is unrolled in a task of its own into
+chunks of leaves, and blocks of rows meet groups of chunks in a join; neither the
+driver nor any task holds the whole model or more rows than a few blocks.
 """
 
 from __future__ import annotations
 
-import json
+import math
 import sys
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpoint_dir
+from riskloom.operators.lookup import split_join
+from riskloom.operators.sampling import ranked_by_hash
+from riskloom.session import checkpoint_dir, materialise
 
 register_pickle_by_value(sys.modules[__name__])
 
+#: Leaves of a chunk, chunks of a group, rows of a block, blocks that meet a group in one task.
+LEAVES, CHUNKS, ROWS, BLOCKS = 256, 16, 512, 8
+#: Numbers a task works on at a time: rows x leaves x features on the path.
+CELLS = 1 << 20
+
+
+def ensemble_nodes(model, spark: SparkSession) -> DataFrame:
+    """The nodes of a fitted forest or boosted model, one row each.
 
-@dataclass
-class LeafPath:
-    """A leaf's value and, per feature on its path, the rows that stay on it."""
+    ``tree, id, left, right, feature, threshold, categories, n_categories, value,
+    cover``. ``left`` is negative at leaves. Values add up over the trees: to the margin
+    of a boosted model, to a forest's probability of the positive class. ``cover`` is
+    the weight of the training rows that reach the node.
+    """
+    learner = getattr(model, "learner", model)
+    boosted = isinstance(learner, GBTClassificationModel)
+    if not boosted and not isinstance(learner, RandomForestClassificationModel):
+        raise TypeError(f"no tree nodes for {type(learner).__name__}")
+    path = f"{checkpoint_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    learner.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    # Impurity statistics hold weighted counts: per class, or (n, sum, sum of squares).
+    stats, split = F.col("impurityStats"), F.col("split")
+    total = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    if boosted:
+        scales = spark.createDataFrame([(i, float(w)) for i, w in enumerate(learner.treeWeights)], "tree int, scale double")
+        nodes = nodes.join(F.broadcast(scales), "tree")
+        value, cover = F.col("prediction") * F.col("scale"), stats[0]
+    else:
+        value, cover = stats[1] / total / F.lit(float(learner.getNumTrees)), total
+    continuous = split["numCategories"] < 0
+    return nodes.select(
+        "tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        split["featureIndex"].alias("feature"),
+        F.when(continuous, F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(~continuous, split["leftCategoriesOrThreshold"]).alias("categories"),
+        split["numCategories"].alias("n_categories"),
+        value.alias("value"), cover.alias("cover"),
+    )
 
-    value: float
-    features: np.ndarray  # column numbers
-    low: np.ndarray  # exclusive
-    high: np.ndarray  # inclusive
-    categories: list  # allowed category arrays, or None for a continuous feature
-    share: np.ndarray  # training share z per feature
 
 
-def tree_paths(model, spark) -> tuple[list[LeafPath], float]:
-    """All leaf paths of an ensemble and its expected output.
+def walk_trees(nodes: DataFrame, df: DataFrame, key: str, features: list[str], depth: int) -> DataFrame:
+    """``<key>, margin``: the sum over the trees of the value of the leaf a row reaches.
 
-    The nodes are read from the saved model; their number depends on the model's
-    settings, not on the data. A boosted model is explained on its margin, a
-    forest on the probability of the positive class.
+    ``nodes`` as from ``ensemble_nodes``. Every row starts at every root and moves down
+    by a join on tree and node, one level at a time; values above a threshold, nulls and
+    NaN go right, as in the learners. Nodes that hold over 1/64 of their tree's training
+    weight (64 a level at most) are broadcast, the others are shuffled, so neither a
+    root's rows nor a whole model meet in one task.
     """
-    boosted = isinstance(model, GBTClassificationModel)
-    if not boosted and not isinstance(model, RandomForestClassificationModel):
-        raise TypeError(f"no tree paths for {type(model).__name__}")
-    path = f"{checkpoint_dir(spark)}/nodes-{uuid.uuid4().hex}"
-    model.save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, object]] = {}
-    for n in nodes:
-        trees.setdefault(n["treeID"], {})[n["id"]] = n
-    weights = list(model.treeWeights)
-    paths: list[LeafPath] = []
-    expected = 0.0
-    for tree_id, tree in trees.items():
-        scale = weights[tree_id] if boosted else 1.0 / len(trees)
-
-        def leaf_value(node) -> float:
-            if boosted:
-                return scale * node["prediction"]
-            stats = node["impurityStats"]
-            return scale * stats[1] / sum(stats)
-
-        def cover(node) -> float:
-            # Impurity statistics hold weighted counts: per class, or (n, sum, sum of squares).
-            stats = node["impurityStats"]
-            return stats[0] if boosted else sum(stats)
-
-        stack = [(0, {})]
-        while stack:
-            node_id, held = stack.pop()
-            node = tree[node_id]
-            if node["leftChild"] < 0:
-                order = sorted(held)
-                paths.append(
-                    LeafPath(
-                        leaf_value(node),
-                        np.array(order, dtype=int),
-                        np.array([held[f][0] for f in order]),
-                        np.array([held[f][1] for f in order]),
-                        [held[f][2] for f in order],
-                        np.array([held[f][3] for f in order]),
-                    )
-                )
-                expected += leaf_value(node) * float(np.prod([held[f][3] for f in order]))
-                continue
-            split = node["split"]
-            feature, values = split["featureIndex"], split["leftCategoriesOrThreshold"]
-            low, high, allowed, share = held.get(feature, (-np.inf, np.inf, None, 1.0))
-            for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
-                part = share * cover(tree[child]) / cover(node)
-                if split["numCategories"] >= 0:
-                    every = set(range(split["numCategories"])) if allowed is None else set(allowed)
-                    kept = every & set(int(v) for v in values) if left else every - set(int(v) for v in values)
-                    limits = (low, high, sorted(kept), part)
-                elif left:
-                    limits = (low, min(high, values[0]), allowed, part)
-                else:
-                    limits = (max(low, values[0]), high, allowed, part)
-                stack.append((child, {**held, feature: limits}))
-    return paths, expected
-
-
-def path_attributions(x: np.ndarray, paths: list[LeafPath]) -> np.ndarray:
-    """Rows x features attributions of a batch."""
-    phi = np.zeros(x.shape)
-    nodes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for leaf in paths:
-        depth = len(leaf.features)
-        if depth == 0 or leaf.value == 0.0:
+    place = (F.col("tree").cast("long") * F.lit(1 << 32) + F.col("id")).alias("place")
+    roots = nodes.where("id = 0").select("tree", F.col("cover").alias("whole"))
+    steps = nodes.join(F.broadcast(roots), "tree").withColumn("hot", F.col("cover") * 64 >= F.col("whole"))
+    steps = materialise(steps.select(place, "hot", "tree", "left", "right", "feature", "threshold", "categories", "value"))
+    started = F.transform(F.sequence(F.lit(0), F.lit(roots.count() - 1)), lambda t: t.cast("long") * F.lit(1 << 32))
+    rows = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+    at = rows.select("row", "k", "x", F.explode(started).alias("place"))
+    for level in range(depth + 1):
+        here = split_join(at, steps, "place", "hot")
+        x = F.get("x", F.col("feature"))
+        goes_left = F.when(F.col("categories").isNull(), x <= F.col("threshold")).otherwise(F.array_contains("categories", x))
+        child = F.when(F.coalesce(goes_left, F.lit(False)), F.col("left")).otherwise(F.col("right"))
+        child = F.when(F.col("left") < 0, F.col("place")).otherwise(F.col("tree").cast("long") * F.lit(1 << 32) + child)
+        at = here.select("row", "k", "x", child.alias("place"))
+        if level % 8 == 7:
+            at = materialise(at)
+    ended = split_join(at, steps, "place", "hot")
+    return ended.groupBy("row", "k").agg(F.sum("value").alias("margin")).select(F.col("k").alias(key), "margin")
+
+
+def _unroll(nodes: pd.DataFrame) -> Iterator[dict]:
+    """Leaf paths of one tree in chunks of equal length: per feature the rows that stay and their share."""
+    by_id = nodes.set_index("id")
+    column = {c: dict(zip(by_id.index, by_id[c])) for c in by_id.columns}
+    left, right, cover = column["left"], column["right"], column["cover"]
+    open_: dict[int, list] = {}
+    stack = [(0, {})]
+    while stack:
+        at, held = stack.pop()
+        if left[at] < 0:
+            waiting = open_.setdefault(len(held), [])
+            waiting.append((column["value"][at], held))
+            if len(waiting) == LEAVES:
+                yield _chunk(open_.pop(len(held)))
             continue
-        columns = x[:, leaf.features]
-        on_path = (columns > leaf.low) & (columns <= leaf.high)
-        for j, allowed in enumerate(leaf.categories):
+        feature, categories = int(column["feature"][at]), column["categories"][at]
+        low, high, allowed, share = held.get(feature, (-math.inf, math.inf, None, 1.0))
+        for child, goes_left in ((left[at], True), (right[at], False)):
+            part = share * cover[child] / cover[at]
+            if categories is not None:
+                named = {float(v) for v in categories}
+                every = set(map(float, range(int(column["n_categories"][at])))) if allowed is None else set(allowed)
+                limits = (low, high, sorted(every & named if goes_left else every - named), part)
+            elif goes_left:
+                limits = (low, min(high, column["threshold"][at]), allowed, part)
+            else:
+                limits = (max(low, column["threshold"][at]), high, allowed, part)
+            stack.append((child, {**held, feature: limits}))
+    for waiting in open_.values():
+        yield _chunk(waiting)
+
+
+def _chunk(leaves: list[tuple[float, dict]]) -> dict:
+    paths = [(value, sorted(held.items())) for value, held in leaves]
+    flat = [(f, *limits) for _, path in paths for f, limits in path]
+    return {
+        "width": len(paths[0][1]),
+        "value": [v for v, _ in paths],
+        "feature": [f for f, *_ in flat],
+        "low": [x[1] for x in flat],
+        "high": [x[2] for x in flat],
+        "allowed": [x[3] for x in flat],
+        "share": [x[4] for x in flat],
+        "expected": sum(v * math.prod(limits[3] for _, limits in path) for v, path in paths),
+    }
+
+
+CHUNK = (
+    "width int, value array<double>, feature array<int>, low array<double>, high array<double>, "
+    "allowed array<array<double>>, share array<double>, expected double"
+)
+
+
+def leaf_chunks(nodes: DataFrame) -> DataFrame:
+    """All leaf paths of an ensemble, ``LEAVES`` to a row at most; one tree is unrolled at a time."""
+
+    def run(tree: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_unroll(tree)))
+
+    return nodes.groupBy("tree").applyInPandas(run, CHUNK)
+
+
+def path_attributions(x: np.ndarray, chunk: Mapping) -> np.ndarray:
+    """Rows x features attributions that the leaves of one chunk add."""
+    phi, width = np.zeros(x.shape), int(chunk["width"])
+    if not width:
+        return phi
+    value = np.array(chunk["value"])
+    shape = (len(value), width)
+    feature = np.array(chunk["feature"], dtype=int).reshape(shape)
+    low, high, share = (np.array(chunk[c], dtype=float).reshape(shape) for c in ("low", "high", "share"))
+    t, w = np.polynomial.legendre.leggauss(width // 2 + 1)
+    t, w = (t + 1) / 2, w / 2
+    order = np.argsort(feature, axis=None, kind="stable")
+    named, starts = np.unique(feature.ravel()[order], return_index=True)
+    rows = max(1, CELLS // feature.size)
+    for start in range(0, len(x), rows):
+        columns = x[start : start + rows][:, feature]
+        on_path = (columns > low) & (columns <= high)
+        on_path |= np.isnan(columns) & (high == np.inf)
+        for i, allowed in enumerate(chunk["allowed"]):
             if allowed is not None:
-                on_path[:, j] = np.isin(columns[:, j], allowed)
-        count = depth // 2 + 1
-        if count not in nodes:
-            t, w = np.polynomial.legendre.leggauss(count)
-            nodes[count] = ((t + 1) / 2, w / 2)
+                on_path[:, i // width, i % width] = np.isin(columns[:, i // width, i % width], allowed)
         weight = np.zeros(columns.shape)
-        for t, w in zip(*nodes[count]):
-            factors = np.where(on_path, t + (1 - t) * leaf.share, (1 - t) * leaf.share)
-            weight += w * factors.prod(axis=1, keepdims=True) / factors
-        phi[:, leaf.features] += leaf.value * (on_path - leaf.share) * weight
+        for at, part in zip(t, w):
+            factors = np.where(on_path, at + (1 - at) * share, (1 - at) * share)
+            weight += part * factors.prod(axis=2, keepdims=True) / factors
+        added = (value[:, None] * (on_path - share) * weight).reshape(len(columns), -1)[:, order]
+        phi[start : start + rows, named] += np.add.reduceat(added, starts, axis=1)
     return phi
 
 
+def _blocks(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """``block``, ``keys``, ``x`` (row by row): up to ``ROWS`` rows that already lie together."""
+    width, key_type = len(features), df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                x = np.column_stack([part.column(i + 1).to_numpy(zero_copy_only=False) for i in range(width)]).ravel()
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                xs = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float64()))
+                yield pa.RecordBatch.from_arrays([keys, xs], ["keys", "x"])
+
+    rows = df.select(F.col(key), *[F.col(c).cast("double") for c in features])
+    packed = rows.mapInArrow(pack, f"keys array<{key_type}>, x array<double>")
+    return materialise(packed.withColumn("block", F.monotonically_increasing_id()))
+
+
+def tree_vectors(model, df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, float]:
+    """``<key>, phi`` (an array, one value a feature) for every row, and the base value.
+
+    Blocks of rows and groups of chunks are each sent to the cells of a grid, so that
+    every block meets every group once and a cell holds ``BLOCKS`` blocks and ``CHUNKS``
+    chunks on average. What the groups add to a row is summed before and after the shuffle.
+    """
+    spark, width = df.sparkSession, len(features)
+    key_type = df.schema[key].dataType.simpleString()
+    chunks = materialise(leaf_chunks(ensemble_nodes(model, spark)))
+    blocks = _blocks(df, key, features)
+    n_chunks, expected = chunks.agg(F.count("*"), F.sum("expected")).first()
+    n_groups = max(1, math.ceil(n_chunks / CHUNKS))
+    n_slices = max(1, math.ceil(blocks.count() / BLOCKS))
+    contents = [F.col(c) for c in chunks.columns if c != "expected"]
+    group = F.pmod(F.xxhash64("value", "feature", "low"), F.lit(n_groups)).cast("int")
+    slices = F.sequence(F.lit(0), F.lit(n_slices - 1))
+    chunk_side = chunks.select(group.alias("g"), F.explode(slices).alias("s"), *contents)
+    slice_ = F.pmod(F.xxhash64("block"), F.lit(n_slices)).cast("int")
+    groups = F.sequence(F.lit(0), F.lit(n_groups - 1))
+    block_side = blocks.select(F.explode(groups).alias("g"), slice_.alias("s"), "block", "keys", "x")
+
+    def meet(some: pa.Table, paths: pa.Table) -> pa.Table:
+        chunks_here = paths.to_pylist()
+        out = []
+        for block, keys, x in zip(*(some.column(c) for c in ("block", "keys", "x"))):
+            matrix = x.values.to_numpy().reshape(-1, width)
+            phi = sum((path_attributions(matrix, c) for c in chunks_here), np.zeros(matrix.shape))
+            ends = pa.array(np.arange(len(matrix) + 1) * width, pa.int32())
+            numbers = [pa.array(np.full(len(matrix), block.as_py())), pa.array(np.arange(len(matrix)))]
+            values = pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))
+            out.append(pa.Table.from_arrays([*numbers, keys.values, values], ["block", "at", "k", "phi"]))
+        kinds = [("block", pa.int64()), ("at", pa.int64()), ("k", some.schema.field("keys").type.value_type), ("phi", pa.list_(pa.float64()))]
+        return pa.concat_tables([t.cast(pa.schema(kinds)) for t in out]) if out else pa.schema(kinds).empty_table()
+
+    met = block_side.groupBy("g", "s").cogroup(chunk_side.groupBy("g", "s"))
+    parts = met.applyInArrow(meet, f"block long, at long, k {key_type}, phi array<double>")
+    if n_groups > 1:
+        summed = Summarizer.sum(array_to_vector(F.col("phi")))
+        parts = parts.groupBy("block", "at").agg(F.first("k").alias("k"), vector_to_array(summed).alias("phi"))
+    return parts.select(F.col("k").alias(key), "phi"), float(expected or 0.0)
+
+
+def to_long(vectors: DataFrame, key: str, features: list[str], model: str) -> DataFrame:
+    """Long ``model, <key>, feature, shap_value`` of ``<key>, phi`` rows."""
+    names = F.array(*[F.lit(f) for f in features])
+    return vectors.select(key, F.posexplode("phi").alias("position", "shap_value")).select(
+        F.lit(model).alias("model"), key, F.get(names, F.col("position")).alias("feature"), "shap_value"
+    )
+
+
+def summarise(vectors: DataFrame, features: list[str], model: str) -> DataFrame:
+    """``model, feature, mean_abs, mean_signed, n``: vectors are added up, not exploded."""
+    both = Summarizer.metrics("normL1", "mean", "count").summary(array_to_vector(F.col("phi")))
+    # a group, not a global aggregate: that of no rows has no sums to read
+    row = vectors.groupBy(F.lit(1)).agg(both.alias("s")).select(
+        vector_to_array("s.normL1").alias("total"), vector_to_array("s.mean").alias("mean"), F.col("s.count").alias("n")
+    )
+    lines = F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.col("total")[i] / F.col("n")).alias("mean_abs"), F.col("mean")[i].alias("mean_signed"), "n")
+        for i, f in enumerate(features)
+    ])
+    return row.select(F.lit(model).alias("model"), F.explode(lines).alias("l")).select("model", "l.*")
+
+
 def tree_attribution(
     model, df: DataFrame, key: str, features: list[str], name: str | None = None
 ) -> tuple[DataFrame, float]:
     """Long ``model, <key>, feature, shap_value`` for every row, and the base value.
 
     ``model`` is a trained preset or a fitted MLlib ensemble whose inputs are
-    ``features`` in that order.
+    ``features`` in that order. A boosted model is explained on its margin, a forest on
+    the probability of the positive class.
     """
-    learner = getattr(model, "learner", model)
-    label = name or getattr(model, "name", type(learner).__name__)
-    paths, expected = tree_paths(learner, df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(paths)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                yield pd.DataFrame({"k": batch["k"], "phi": list(path_attributions(x, shared.value))})
-
-    inputs = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    key_type = df.schema[key].dataType.simpleString()
-    values = inputs.mapInPandas(explain, f"k {key_type}, phi array<double>")
-    return _to_long(values, key, features, label), expected
+    label = name or getattr(model, "name", type(model).__name__)
+    vectors, expected = tree_vectors(model, df, key, features)
+    return to_long(vectors, key, features, label), expected
 
 
-def _to_long(values: DataFrame, key: str, features: list[str], model: str) -> DataFrame:
-    names = F.array(*[F.lit(f) for f in features])
-    return values.select("k", F.posexplode("phi").alias("position", "shap_value")).select(
-        F.lit(model).alias("model"),
-        F.col("k").alias(key),
-        F.get(names, F.col("position")).alias("feature"),
-        "shap_value",
-    )
+def linear_vectors(df: DataFrame, key: str, features: list[str], coefficients: list[float]) -> DataFrame:
+    """``<key>, phi`` with ``coefficient * (x - mean)`` per feature, as column expressions."""
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    parts = zip(features, coefficients, means, strict=True)
+    values = [(F.col(c).cast("double") - F.lit(m)) * F.lit(float(w)) for c, w, m in parts]
+    return df.select(key, F.array(*values).alias("phi"))
 
 
 def linear_attribution(
     df: DataFrame, key: str, features: list[str], coefficients: list[float], name: str = "linear"
 ) -> DataFrame:
-    """``coefficient * (x - mean)`` per feature, as column expressions; long rows."""
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
-    values = F.array(
-        *[(F.col(c).cast("double") - F.lit(means[c])) * F.lit(float(w)) for c, w in zip(features, coefficients, strict=True)]
-    )
-    return _to_long(df.select(F.col(key).alias("k"), values.alias("phi")), key, features, name)
+    """``coefficient * (x - mean)`` per feature; long rows."""
+    return to_long(linear_vectors(df, key, features, coefficients), key, features, name)
 
 
-def permutation_attribution(
-    model,
-    df: DataFrame,
-    key: str,
-    features: list[str],
-    background: DataFrame,
-    draws: int = 8,
-    background_rows: int = 100,
-    seed: int = 42,
-    name: str | None = None,
+def drawn_vectors(
+    model, df: DataFrame, key: str, features: list[str], background: DataFrame, draws: int = 8, seed: int = 42
 ) -> DataFrame:
-    """Sampled Shapley values for a model of any kind.
+    """``<key>, draw, phi, base``: what every draw says of a model of any kind.
 
-    Each draw takes a background row and an order of the features, and switches
-    the features from the background's values to the row's one by one; a
-    feature's value is the mean change of the probability when it is switched.
-    Orders and choices come from hashes. Per row, the values add up to its
-    probability minus the mean probability of its background rows.
+    A draw takes one row of the whole ``background``, met by its rank in hash order, and
+    an order of the features with its reverse. Along both, features are switched one by
+    one from the background's values to the row's; ``phi`` is the mean change of the
+    probability at each switch. ``base`` is the probability of the background row, so
+    ``phi`` adds up to the row's own probability less ``base``. Orders and choices come
+    from hashes of ``key``, which must name one row.
     """
-    from riskloom.operators.sampling import sample_rows
-
     d = len(features)
-    given = [
-        [float(v) for v in r] for r in sample_rows(background, key, background_rows, seed).select(*features).collect()
-    ]
-    pool = F.from_json(F.lit(json.dumps(given)), "array<array<double>>")  # folded into a literal
+    ranked = ranked_by_hash(background.select(key, *features), key, seed)
+    ranked = materialise(ranked.select(F.array(*[F.col(c).cast("double") for c in features]).alias("b"), F.col("rank").alias("r")))
+    size = ranked.count()
+    if not size:
+        raise ValueError("the background has no row")
     drawn = df.select(
         F.col(key).alias("k"),
         F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
         F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"),
     )
-    chosen = F.get(pool, F.pmod(F.xxhash64("k", "draw", F.lit(seed)), F.lit(len(given))).cast("int"))
+    chosen = F.pmod(F.xxhash64("k", "draw", F.lit(seed)), F.lit(size)) + 1
     order = F.transform(
-        F.array_sort(
-            F.array(*[F.struct(F.xxhash64("k", "draw", F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("i")) for i in range(d)])
-        ),
+        F.array_sort(F.array(*[F.struct(F.xxhash64("k", "draw", F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("i")) for i in range(d)])),
         lambda e: e["i"],
     )
-    steps = drawn.withColumns({"b": chosen, "order": order}).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(d)))
+    met = drawn.withColumn("r", chosen).join(ranked, "r").select("k", "draw", "x", "b", order.alias("ahead"))
+    # Rows of one key stay together from here on: the scores of a draw meet without another shuffle.
+    met = met.repartition("k")
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), o.alias("order")) for i, o in enumerate((F.col("ahead"), F.reverse("ahead")))])
+    steps = met.select("k", "draw", "x", "b", F.explode(ways).alias("w")).select(
+        "k", "draw", "x", "b", "w.way", "w.order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step")
     )
     switched = F.slice("order", F.lit(1), F.col("step"))
     mixed = steps.select(
-        "k",
-        "order",
-        "step",
-        *[
-            F.when(F.array_contains(switched, F.lit(i)), F.col("x")[i]).otherwise(F.col("b")[i]).alias(c)
-            for i, c in enumerate(features)
-        ],
-    )
-    scored = model.transform(mixed).select(
-        "k", "order", "step", vector_to_array(F.col("probability"))[1].alias("p")
+        "k", "draw", "way", "order", "step",
+        *[F.when(F.array_contains(switched, F.lit(i)), F.col("x")[i]).otherwise(F.col("b")[i]).alias(c) for i, c in enumerate(features)],
     )
-    # A step's probability counts for the feature just switched on, and against the next one.
-    parts = F.array_compact(
-        F.array(
-            F.when(F.col("step") > 0, F.struct(F.get("order", F.col("step") - 1).alias("i"), F.col("p").alias("p"))),
-            F.when(F.col("step") < d, F.struct(F.get("order", F.col("step")).alias("i"), (-F.col("p")).alias("p"))),
-        )
+    scored = model.transform(mixed).select("k", "draw", "way", "order", "step", vector_to_array(F.col("probability"))[1].alias("p"))
+    one_way = scored.groupBy("k", "draw", "way").agg(
+        F.first("order").alias("order"),
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "p"))), lambda e: e["p"]).alias("p"),
     )
+    switched_at = [F.array_position("order", F.lit(i)).cast("int") for i in range(d)]
+    gained = F.array(*[F.get("p", at) - F.get("p", at - 1) for at in switched_at])
+    ends = one_way.select("k", "draw", gained.alias("phi"), F.get("p", F.lit(0)).alias("base"))
+    both = ends.groupBy("k", "draw").agg(F.collect_list("phi").alias("ways"), F.first("base").alias("base"))
+    mean = F.transform(F.arrays_zip(F.col("ways")[0].alias("a"), F.col("ways")[1].alias("b")), lambda e: (e["a"] + e["b"]) / 2)
+    return both.select(F.col("k").alias(key), "draw", mean.alias("phi"), "base")
+
+
+def permutation_vectors(
+    model, df: DataFrame, key: str, features: list[str], background: DataFrame, draws: int = 8, seed: int = 42
+) -> DataFrame:
+    """``<key>, phi, std_error, base``: means over the draws, and how sure they are.
+
+    ``std_error`` is the deviation of a feature's value over the draws by the root of their
+    number (null for one draw). ``phi`` adds up to the row's probability less ``base``,
+    the mean probability of its background rows.
+    """
+    each = drawn_vectors(model, df, key, features, background, draws, seed)
+    moments = Summarizer.metrics("mean", "std").summary(array_to_vector(F.col("phi")))
+    found = each.groupBy(key).agg(moments.alias("m"), F.avg("base").alias("base"))
+    error = F.transform(vector_to_array("m.std"), lambda s: s / F.lit(math.sqrt(draws))) if draws > 1 else F.lit(None).cast("array<double>")
+    return found.select(key, vector_to_array("m.mean").alias("phi"), error.alias("std_error"), "base")
+
+
+def permutation_attribution(
+    model,
+    df: DataFrame,
+    key: str,
+    features: list[str],
+    background: DataFrame,
+    draws: int = 8,
+    seed: int = 42,
+    name: str | None = None,
+) -> DataFrame:
+    """Long ``model, <key>, feature, shap_value, std_error`` of a model of any kind."""
+    vectors = permutation_vectors(model, df, key, features, background, draws, seed)
     names = F.array(*[F.lit(f) for f in features])
-    return (
-        scored.select("k", F.explode(parts).alias("e"))
-        .groupBy("k", "e.i")
-        .agg((F.sum("e.p") / F.lit(draws)).alias("shap_value"))
-        .select(
-            F.lit(name or getattr(model, "name", "model")).alias("model"),
-            F.col("k").alias(key),
-            F.get(names, F.col("i")).alias("feature"),
-            "shap_value",
-        )
+    return vectors.select(key, "std_error", F.posexplode("phi").alias("position", "shap_value")).select(
+        F.lit(name or getattr(model, "name", "model")).alias("model"),
+        key,
+        F.get(names, F.col("position")).alias("feature"),
+        "shap_value",
+        F.get("std_error", F.col("position")).alias("std_error"),
     )
+
+
+def model_vectors(
+    model, df: DataFrame, key: str, features: list[str], background: DataFrame | None = None, draws: int = 8, seed: int = 42
+) -> DataFrame:
+    """``<key>, phi`` of any model by the way that suits its kind.
+
+    Ensembles of trees exactly (margin or probability), logistic regressions exactly on
+    their margin, everything else (networks, calibrated machines) by drawn orders on the
+    probability, against ``background`` (``df`` itself if there is none).
+    """
+    learner = getattr(model, "learner", model)
+    if isinstance(learner, (GBTClassificationModel, RandomForestClassificationModel)):
+        return tree_vectors(model, df, key, features)[0]
+    if isinstance(learner, LogisticRegressionModel):
+        return linear_vectors(df, key, features, list(learner.coefficients))
+    return permutation_vectors(model, df, key, features, df if background is None else background, draws, seed).select(key, "phi")
+
+
+def explain_models(
+    models: Mapping[str, object],
+    df: DataFrame,
+    key: str,
+    features: list[str],
+    background: DataFrame | None = None,
+    draws: int = 8,
+    seed: int = 42,
+    rows: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Mean attributions of any mix of models, and on request every row's.
+
+    Returns ``model, feature, mean_abs, mean_signed, n``, and with ``rows`` the long
+    ``model, <key>, feature, shap_value``; without it no row x feature table is written.
+    """
+    summaries, longs = [], []
+    for name, model in models.items():
+        vectors = model_vectors(model, df, key, features, background, draws, seed)
+        if rows:
+            vectors = materialise(vectors)
+            longs.append(to_long(vectors, key, features, name))
+        summaries.append(summarise(vectors, features, name))
+    summary = materialise(_union(summaries))
+    return summary, _union(longs) if rows else None
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

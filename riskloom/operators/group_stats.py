@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import ratio, zscore
 from riskloom.operators.clean import replace_columns
-from riskloom.operators.lookup import BROADCAST_ROWS, lookup_join
+from riskloom.operators.lookup import BROADCAST_BYTES, lookup_join, row_bytes
 from riskloom.session import materialise
 
 # Which amounts are compared with which entity's mean and deviation.
@@ -27,7 +27,7 @@ class GroupStats:
 
     specs: dict[str, tuple[str, ...]]
     tables: dict[str, DataFrame]
-    rows: dict[str, int]
+    sizes: dict[str, int]  # bytes
     key_types: dict[str, str] = field(default_factory=dict)
 
     @classmethod
@@ -65,23 +65,24 @@ class GroupStats:
 
     @classmethod
     def from_table(cls, stored: DataFrame, specs: dict[str, tuple[str, ...]], keys: list[str]) -> GroupStats:
-        sizes = {r["key_index"]: r["count"] for r in stored.groupBy("key_index").count().collect()}
-        tables, rows = {}, {}
+        taken = stored.groupBy("key_index").agg(F.sum(row_bytes(stored)).alias("bytes")).collect()
+        found = {r["key_index"]: r["bytes"] for r in taken}
+        tables, sizes = {}, {}
         for i, key in enumerate(keys):
             columns = [f"{stat}_{v}" for v, ks in specs.items() if key in ks for stat in ("mean", "std")]
             tables[key] = stored.where(F.col("key_index") == i).select(key, "n", *columns)
-            rows[key] = sizes.get(i, 0)
-        fitted = cls(specs, tables, rows)
+            sizes[key] = found.get(i, 0)
+        fitted = cls(specs, tables, sizes)
         fitted.stored = stored
         return fitted
 
-    def lookup(self, df: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    def lookup(self, df: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Rows with ``<key>__n``-free statistics columns ``<key>__mean_<value>`` added."""
         table = self.tables[key]
         renamed = table.select(
             key, "n", *[F.col(c).alias(f"{key}__{c}") for c in table.columns if c not in (key, "n")]
         )
-        return lookup_join(df, renamed, key, self.rows[key], broadcast_rows=broadcast_rows)
+        return lookup_join(df, renamed, key, self.sizes[key], broadcast_bytes=broadcast_bytes)
 
     def transform(
         self,
@@ -89,7 +90,7 @@ class GroupStats:
         kinds: tuple[str, ...] = ("mean", "std"),
         fill: float = -1.0,
         zscores: dict[str, tuple[str, str]] | None = None,
-        broadcast_rows: int = BROADCAST_ROWS,
+        broadcast_bytes: int = BROADCAST_BYTES,
     ) -> DataFrame:
         """Add ``<value>_to_<kind>_<key>`` ratios and the requested z-scores.
 
@@ -99,7 +100,7 @@ class GroupStats:
         """
         original = list(df.columns)
         for key in self.tables:
-            df = self.lookup(df, key, broadcast_rows)
+            df = self.lookup(df, key, broadcast_bytes)
         new: dict[str, Column] = {}
         for kind in kinds:
             for value, keys in self.specs.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.functions.scalars import decide
-from riskloom.operators.ordering import running_totals, score_bounds
+from riskloom.operators.ordering import running_totals
 
 
 def _by_score(df: DataFrame, label: str, score: str, groups: list[str]) -> DataFrame:
@@ -23,10 +23,8 @@ def _by_score(df: DataFrame, label: str, score: str, groups: list[str]) -> DataF
 
 def curve(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
     """Per distinct score, highest first: counts at the score and at or above it."""
-    groups = groups or []
     scored = df.where(F.col(score).isNotNull())
-    bounds = score_bounds(scored, score)
-    return running_totals(_by_score(scored, label, score, groups), "score", ["pos", "neg"], groups, True, bounds)
+    return running_totals(_by_score(scored, label, score, groups or []), "score", ["pos", "neg"], groups, True)
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -246,8 +244,12 @@ def risk_distribution(df: DataFrame, band: str = "risk_level") -> DataFrame:
 
 def importance_rank(attributions: DataFrame, top: int | None = None, groups: list[str] | None = None) -> DataFrame:
     """``feature, importance, rank`` by mean absolute attribution, highest first."""
-    groups = groups or []
-    means = attributions.groupBy(*groups, "feature").agg(F.avg(F.abs("shap_value")).alias("importance"))
+    means = attributions.groupBy(*(groups or []), "feature").agg(F.avg(F.abs("shap_value")).alias("importance"))
+    return rank_importance(means, top, groups)
+
+
+def rank_importance(means: DataFrame, top: int | None = None, groups: list[str] | None = None) -> DataFrame:
+    """``rank`` by ``importance``, one row per (group, feature), highest first."""
     # One row per (model, feature): the window sees features, not rows.
     order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.col("importance").desc(), F.col("feature"))
     ranked = means.withColumn("rank", F.row_number().over(order))
@@ -256,8 +258,13 @@ def importance_rank(attributions: DataFrame, top: int | None = None, groups: lis
 
 def direction_top(attributions: DataFrame, top: int = 5, groups: list[str] | None = None) -> DataFrame:
     """The strongest features towards and away from the positive class; zero in neither."""
+    means = attributions.groupBy(*(groups or []), "feature").agg(F.avg("shap_value").alias("mean_value"))
+    return rank_direction(means, top, groups)
+
+
+def rank_direction(means: DataFrame, top: int = 5, groups: list[str] | None = None) -> DataFrame:
+    """The ``top`` of either sign of ``mean_value``, one row per (group, feature)."""
     groups = groups or []
-    means = attributions.groupBy(*groups, "feature").agg(F.avg("shap_value").alias("mean_value"))
     signed = means.where(F.col("mean_value") != 0).withColumn(
         "direction", F.when(F.col("mean_value") > 0, "towards").otherwise("away")
     )

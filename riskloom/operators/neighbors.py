@@ -223,7 +223,7 @@ def _expand(points: DataFrame, groups: DataFrame, merged: DataFrame, key: str, k
     single = candidates.where(F.col("n") == 1).select(F.col("gid").alias("id"), "near")
     repeated = candidates.where(F.col("n") > 1).select("v", "n", "near")
     n_repeated = groups.where(F.col("n") > 1).count()
-    copied_rows = lookup_join(points, repeated, "v", n_repeated, broadcast_rows=10_000)
+    copied_rows = lookup_join(points, repeated, "v", n_repeated << 12, count_rows=False)
     copied_rows = copied_rows.where(F.col("near").isNotNull()).select("id", "near")
     per_row = single.unionByName(copied_rows).select(
         "id", F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, k).alias("near")

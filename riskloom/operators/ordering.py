@@ -1,13 +1,13 @@
 """Exact ranks and running totals without a single-partition window.
 
-Rows get a bucket that grows with the order key. Bucket totals form a small
-table (at most ``HASH_BUCKETS`` or ``SCORE_BUCKETS`` rows per group) whose running
-sum is broadcast back; the ordered window then runs inside one bucket.
+Rows get a bucket that grows with the order key: the first digits of a hash, or the
+range of a distributed sort. Bucket totals form a small table (at most
+16**HASH_DIGITS rows, or one per range, for each group) whose running sum is
+broadcast back; the ordered window then runs inside one bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from riskloom.session import materialise
 
 HASH_DIGITS = 4
-SCORE_BUCKETS = 2_048
 
 
 def hashed_rank(
@@ -49,34 +48,22 @@ def hashed_rank(
     )
 
 
-def score_bounds(df: DataFrame, score: str, buckets: int = SCORE_BUCKETS) -> list[float]:
-    """Increasing bucket limits such that each bucket has about the same number of rows."""
-    points = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(score).cast("double"), points, 10 * buckets)).first()[0]
-    return sorted(set(found or []))
-
-
-def with_score_bucket(df: DataFrame, score: str, bounds: list[float], name: str = "_bucket") -> DataFrame:
-    """Bucket number by binary search in the limits."""
-    if not bounds:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol=name).transform(df)
-
-
 def running_totals(
     df: DataFrame,
     score: str,
     values: list[str],
     groups: list[str] | None = None,
     descending: bool = False,
-    bounds: list[float] | None = None,
 ) -> DataFrame:
-    """Add ``upto_<value>`` (running sum by score, ties must be grouped before) and ``total_<value>``."""
+    """Add ``upto_<value>`` (running sum by score, ties must be grouped before) and ``total_<value>``.
+
+    The rows are sorted once over all tasks and written; a range of scores is a bucket.
+    Equal scores never part, and no range depends on how scores are spread. The table of
+    bucket totals has one row per range and group.
+    """
     groups = groups or []
-    if bounds is None:
-        bounds = score_bounds(df, score)
-    bucketed = with_score_bucket(df, score, bounds)
+    in_order = materialise(df.orderBy(score).withColumn("_id", F.monotonically_increasing_id()))
+    bucketed = in_order.withColumn("_bucket", F.shiftright(F.col("_id"), 33)).drop("_id")
 
     def order(column: str):
         return F.col(column).desc() if descending else F.col(column).asc()

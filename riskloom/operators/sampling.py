@@ -21,6 +21,11 @@ def _ranked(df: DataFrame, key: str, seed: int, groups: list[str]) -> DataFrame:
     return hashed_rank(hashed, "_hash", groups, "_rank", "_size").drop("_hash")
 
 
+def ranked_by_hash(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Add ``rank``, 1 to the number of rows in hash order of ``key``."""
+    return _ranked(df, key, seed, []).withColumnRenamed("_rank", "rank").drop("_size")
+
+
 def random_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ceil(share x rows) rows."""
     ranked = _ranked(df, key, seed, [])

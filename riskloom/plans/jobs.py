@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import clean
 from riskloom.operators.encode import LabelEncoder, MinMaxScaler, StandardScaler
-from riskloom.operators.explain import tree_attribution
+from riskloom.operators.explain import explain_models
 from riskloom.operators.metrics import (
     classification_report,
     confusion_matrix,
-    direction_top,
     evaluate,
-    importance_rank,
+    rank_direction,
+    rank_importance,
     risk_distribution,
     threshold_metrics,
 )
 from riskloom.operators.neighbors import smote
 from riskloom.operators.profile import exact_medians
 from riskloom.operators.reduce import drop_correlated_wide
-from riskloom.operators.sampling import random_split, sample_rows, stratified_split
+from riskloom.operators.sampling import random_split, sample_rows, stratified_kfold, stratified_split
 from riskloom.plans.features import FeaturePlan, PlanOptions
 from riskloom.plans.models import BASE_MODELS, train
 from riskloom.plans.stack import TRAINING_VOTE, StackResult, compare_scored, in_sample_comparison, train_stack
@@ -46,9 +46,11 @@ class TrainingReport:
     metrics: DataFrame
     confusion: DataFrame
     report: DataFrame
-    attributions: DataFrame | None = None
+    attributions: DataFrame | None = None  # every row's, where asked for
     importance: DataFrame | None = None
     direction: DataFrame | None = None
+    fold_importance: DataFrame | None = None  # of the last fold's rows and models
+    fold_direction: DataFrame | None = None
 
 
 def train_job(
@@ -63,6 +65,9 @@ def train_job(
     fit_scope: str = "train",
     final: str = "refit",
     explain_rows: int | None = None,
+    keep_attributions: bool = False,
+    explain_last_fold: bool = False,
+    draws: int = 8,
     sample_size: int | None = None,
     seed: int = 42,
     output: str | None = None,
@@ -71,7 +76,11 @@ def train_job(
     """Join, split, fit the feature plan, stack, evaluate on the hold-out, explain, save.
 
     ``fit_scope="train"`` fits the plan on the training part only, ``"all"`` on
-    every row. The whole hold-out is explained; ``explain_rows`` asks for a sample of it.
+    every row. The whole hold-out is explained, whatever the base models are, and only
+    means are written; ``explain_rows`` asks for a sample of it (0: nothing),
+    ``keep_attributions`` for the values of every row, ``explain_last_fold`` for the rows of
+    the last fold and the models that never saw them as well. ``draws`` is for models
+    without an exact way.
     """
     o = options or PlanOptions()
     rows = load_joined(fact, identity, o.key)
@@ -86,9 +95,14 @@ def train_job(
         result = train_stack(
             train_features, plan.features, o.key, o.label, k, base_models, size, overrides, seed, final, workers=workers
         )
+        fold_rows = None
+        if explain_last_fold:
+            folded = stratified_kfold(train_features, o.key, o.label, k, seed)
+            fold_rows = materialise(folded.where(F.col("fold") == k - 1).drop("fold"))
+        pool = materialise(train_features.select(o.key, *plan.features))
+        train_features.unpersist()
     finally:
         split.unpersist()
-    train_features.unpersist()
 
     holdout = materialise(result.model.score(test_features, TRAINING_VOTE))
     models = [*result.model.base, *result.model.meta]
@@ -103,22 +117,25 @@ def train_job(
         confusion_matrix(holdout, o.label, "predicted_label"),
         classification_report(holdout, o.label, "predicted_label"),
     )
-    trees = [m for m in result.model.base.values() if m.params.get("kind") in ("gbt", "forest")]
-    if trees and explain_rows != 0:
+    if explain_rows != 0:
         sample = test_features if explain_rows is None else sample_rows(test_features, o.key, explain_rows, seed)
-        parts = [tree_attribution(m, sample, o.key, plan.features)[0] for m in trees]
-        report.attributions = materialise(parts[0] if len(parts) == 1 else _union(parts))
-        report.importance = importance_rank(report.attributions, groups=["model"])
-        report.direction = direction_top(report.attributions, groups=["model"])
+        summary, report.attributions = explain_models(
+            result.model.base, sample, o.key, plan.features, pool, draws, seed, keep_attributions
+        )
+        report.importance, report.direction = rankings(summary)
+    if fold_rows is not None:
+        summary, _ = explain_models(result.last_fold, fold_rows, o.key, plan.features, pool, draws, seed)
+        report.fold_importance, report.fold_direction = rankings(summary)
     if output is not None:
         write_training(report, output, o)
     return report
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    from riskloom.plans.stack import union_all
-
-    return union_all(parts)
+def rankings(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Importance and direction tables of mean attributions per model and feature."""
+    importance = summary.select("model", "feature", F.col("mean_abs").alias("importance"))
+    direction = summary.select("model", "feature", F.col("mean_signed").alias("mean_value"))
+    return rank_importance(importance, groups=["model"]), rank_direction(direction, groups=["model"])
 
 
 def write_training(report: TrainingReport, output: str, o: PlanOptions) -> None:
@@ -130,6 +147,8 @@ def write_training(report: TrainingReport, output: str, o: PlanOptions) -> None:
     sinks.write_table(report.report, f"{output}/report", "parquet")
     if report.importance is not None:
         sinks.write_importance(report.importance, f"{output}/importance")
+    if report.fold_importance is not None:
+        sinks.write_importance(report.fold_importance, f"{output}/importance_last_fold")
 
 
 def score_rows(

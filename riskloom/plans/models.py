@@ -53,7 +53,19 @@ FULL: dict[str, dict] = {
     "meta_prob": {"kind": "gbt", "maxIter": 100, "stepSize": 0.1, "maxDepth": 5},
 }
 
-# The same learners with few rounds, for tests and quick runs.
+# Full settings but for the number of rounds.
+SHORT: dict[str, dict] = {
+    "rf": {"numTrees": 6},
+    "lgb": {"maxIter": 4},
+    "xgb": {"maxIter": 3},
+    "catboost": {"maxIter": 4},
+    "contrast_rf": {"numTrees": 6},
+    "contrast_xgb": {"maxIter": 5},
+    "meta_pred": {"maxIter": 5},
+    "meta_prob": {"maxIter": 5},
+}
+
+# The same learners cut down further, for tests.
 SMALL: dict[str, dict] = {
     "rf": {"numTrees": 10, "maxDepth": 6},
     "lgb": {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 10},
@@ -75,8 +87,8 @@ SINGLE_MODELS = ("log", "contrast_rf", "contrast_xgb", "mlp", "svm")
 
 def settings(name: str, size: str = "full", overrides: Mapping[str, object] | None = None) -> dict:
     chosen = dict(FULL[name])
-    if size == "small":
-        chosen.update(SMALL[name])
+    if size != "full":
+        chosen.update({"short": SHORT, "small": SMALL}[size].get(name, {}))
     chosen.update(overrides or {})
     return chosen
 

@@ -101,6 +101,7 @@ class StackResult:
     base_models: list[str]
     label: str
     in_sample: DataFrame = field(default=None)
+    last_fold: dict[str, TrainedModel] = field(default_factory=dict)  # base models that never saw fold k - 1
 
     def cv_scores(self) -> DataFrame:
         """``model, mean_auc, n_folds`` of the base models over the folds."""
@@ -191,7 +192,8 @@ def train_stack(
     finally:
         folded.unpersist()
     model = StackModel(base, {name: fitted[name] for name in META_MODELS}, features, vote)
-    return StackResult(model, meta_table, list(base_models), label)
+    last = {name: by_fold[k - 1, name] for name in base_models}
+    return StackResult(model, meta_table, list(base_models), label, last_fold=last)
 
 
 def in_sample_comparison(result: StackResult) -> DataFrame:

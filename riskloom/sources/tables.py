@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import materialise
+
 ROW_ORDER = "_row_order"
+BAD_LINE = "_bad_line"
 
 # The string and integer columns of the transaction and identity
 # tables. Every other column of the two tables is a double.
@@ -62,6 +66,44 @@ def read_table(
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+@dataclass
+class CheckedRead:
+    """Rows that parse, and the text of those that do not."""
+
+    rows: DataFrame
+    rejected: DataFrame  # file, line
+
+
+def read_checked(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    types: Mapping[str, T.DataType] | None = None,
+) -> CheckedRead:
+    """Read CSV files; a row with a cell that does not parse, or too many cells, is set aside.
+
+    Every cell is parsed once, whatever columns are used later, and the rejected lines are
+    written with their file, so they can be counted, mended and read again. Rows that
+    parse are those ``read_table`` gives. An empty cell is null, not a fault.
+    """
+    if schema is None:
+        first = path if isinstance(path, str) else path[0]
+        schema = schema_for(spark.read.option("header", True).csv(first).columns, types)
+    scan = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())]))
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD_LINE)
+        .csv(path)
+    )
+    bad = scan.where(F.col(BAD_LINE).isNotNull())
+    everything = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])
+    rejected = bad.select(F.col("_metadata.file_path").alias("file"), F.col(BAD_LINE).alias("line"), everything.alias("_row"))
+    return CheckedRead(scan.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE), materialise(rejected).drop("_row"))
+
+
 def with_file_order(scan: DataFrame) -> DataFrame:
     """Add the position of each row in its file as a sortable struct.
 

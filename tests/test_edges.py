@@ -91,7 +91,7 @@ def test_unseen_category(spark):
     new = spark.createDataFrame([("c",), ("a",)], "c string")
     encoder = encode.LabelEncoder.fit(fit)
     assert sorted(r["c"] for r in encoder.transform(new).collect()) == [-1, 0]
-    assert sorted(r["c"] for r in encoder.transform(new, broadcast_rows=0).collect()) == [-1, 0]
+    assert sorted(r["c"] for r in encoder.transform(new, broadcast_bytes=0).collect()) == [-1, 0]
     frequencies = encode.FrequencyEncoder.fit(fit).transform(new)
     assert {r["c"]: r["c_freq"] for r in frequencies.collect()} == {"c": None, "a": 1}
 
@@ -134,7 +134,7 @@ def test_hot_lookup_keeps_every_row(spark):
     )
     table = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
     want = {tuple(r) for r in df.join(table, "k", "left").select("id", "k", "s").collect()}
-    got = lookup_join(df, table, "k", table.count(), broadcast_rows=0)
+    got = lookup_join(df, table, "k", table.count(), broadcast_bytes=0)
     assert got.columns == ["id", "k", "s"]
     assert {tuple(r) for r in got.collect()} == want and len(want) == 3000
 

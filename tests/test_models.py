@@ -2,9 +2,11 @@
 
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain, neighbors
@@ -81,11 +83,65 @@ def brute_force(x, paths):
 @pytest.mark.parametrize("name", ["rf", "xgb"])
 def test_tree_attribution_is_shapley(spark, learnable, name):
     model = models.train(learnable, name, FEATURES, size="small")
-    paths, _ = explain.tree_paths(model.learner, spark)
-    x = np.array([[r[c] for c in FEATURES] for r in learnable.orderBy(KEY).limit(5).collect()])
-    got = explain.path_attributions(x, paths)
-    for row, phi in zip(x, got):
-        assert np.allclose(phi, brute_force(row, paths), atol=1e-10)
+    paths = leaf_paths(explain.leaf_chunks(explain.ensemble_nodes(model, spark)))
+    few = learnable.orderBy(KEY).limit(5)
+    x = {r[KEY]: np.array([r[c] for c in FEATURES]) for r in few.collect()}
+    vectors, _ = explain.tree_vectors(model, few, KEY, FEATURES)
+    got = {r[KEY]: np.array(r["phi"]) for r in vectors.collect()}
+    assert got.keys() == x.keys()
+    for key, row in x.items():
+        assert np.allclose(got[key], brute_force(row, paths), atol=1e-10)
+
+
+def leaf_paths(chunks):
+    """The leaves of all chunks one by one, as the plain version wants them."""
+    out = []
+    for c in chunks.collect():
+        for i, value in enumerate(c["value"]):
+            at = slice(i * c["width"], (i + 1) * c["width"])
+            out.append(SimpleNamespace(value=value, features=c["feature"][at], low=c["low"][at], high=c["high"][at], share=c["share"][at]))
+    return out
+
+
+def test_deep_forest_adds_up_in_many_groups(spark, learnable, monkeypatch):
+    """200 trees of depth 30 in chunks that fill many cells of the grid; nothing is collected."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    monkeypatch.setattr(explain, "LEAVES", 64)
+    monkeypatch.setattr(explain, "ROWS", 100)
+    v = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(learnable)
+    model = RandomForestClassifier(featuresCol="v", labelCol="isFraud", numTrees=200, maxDepth=30, minInstancesPerNode=4, seed=2).fit(v)
+    chunks = explain.leaf_chunks(explain.ensemble_nodes(model, spark)).count()
+    assert chunks > 2 * explain.CHUNKS
+    vectors, base = explain.tree_vectors(model, learnable, KEY, FEATURES)
+    total = vectors.select(KEY, F.aggregate("phi", F.lit(0.0), lambda a, b: a + b).alias("s"))
+    joined = model.transform(v).join(total, KEY)
+    gap = F.abs(vector_to_array("probability")[1] - F.col("s") - F.lit(base))
+    row = joined.agg(F.count("*"), F.max(gap)).first()
+    assert row[0] == learnable.count() and row[1] < 1e-9
+
+
+@pytest.mark.parametrize("name", ["rf", "xgb"])
+def test_walk_equals_model(spark, learnable, name, monkeypatch):
+    model = models.train(learnable, name, FEATURES, size="small")
+    nodes = explain.ensemble_nodes(model, spark)
+    walked = explain.walk_trees(nodes, learnable, KEY, FEATURES, model.params["maxDepth"])
+    output = "probability" if name == "rf" else "rawPrediction"
+    gap = F.abs(vector_to_array(output)[1] - F.col("margin"))
+    row = model.transform(learnable).join(walked, KEY).agg(F.count("*"), F.max(gap)).first()
+    assert row[0] == learnable.count() and row[1] < 1e-9
+
+
+def test_summary_equals_long_rows(spark, learnable):
+    fits = {name: models.train(learnable, name, FEATURES, size="small", key=KEY) for name in ("xgb", "log", "svm")}
+    few = learnable.where("TransactionID % 10 = 1")
+    summary, long = explain.explain_models(fits, few, KEY, FEATURES, learnable, draws=2, rows=True)
+    got = {(r["model"], r["feature"]): (r["mean_abs"], r["mean_signed"], r["n"]) for r in summary.collect()}
+    want = long.groupBy("model", "feature").agg(F.avg(F.abs("shap_value")), F.avg("shap_value"), F.count("*")).collect()
+    assert len(got) == 9 and all(got[r[0], r[1]] == pytest.approx(tuple(r)[2:]) for r in want)
+    empty, _ = explain.explain_models(fits, few.limit(0), KEY, FEATURES, learnable, draws=2)
+    assert empty.count() == 0
 
 
 def test_unused_feature_gets_nothing(learnable):
@@ -98,7 +154,6 @@ def test_unused_feature_gets_nothing(learnable):
 def test_categorical_split(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler, VectorIndexer
-    from pyspark.ml.functions import vector_to_array
 
     df = spark.range(400).select(
         "id", (F.col("id") % 4).cast("double").alias("c"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("x")
@@ -115,17 +170,40 @@ def test_categorical_split(spark):
 def test_permutation_values_add_up(learnable):
     model = models.train(learnable, "log", FEATURES, size="small")
     few = learnable.orderBy(KEY).limit(20)
-    values = explain.permutation_attribution(model, few, KEY, FEATURES, learnable, draws=3, background_rows=1)
-    total = values.groupBy(KEY).agg(F.sum("shap_value").alias("s")).join(model.score(few, "m"), KEY)
-    base = total.agg(F.min(F.col("m_prob") - F.col("s")), F.max(F.col("m_prob") - F.col("s"))).first()
-    assert base[1] - base[0] < 1e-9
+    errors = []
+    for draws in (3, 40):
+        vectors = explain.permutation_vectors(model, few, KEY, FEATURES, learnable, draws)
+        total = F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+        rows = vectors.join(model.score(few, "m"), KEY).select((F.col("m_prob") - total - F.col("base")).alias("gap"), "std_error").collect()
+        assert len(rows) == 20 and all(abs(r["gap"]) < 1e-9 for r in rows)
+        errors.append(np.mean([r["std_error"] for r in rows]))
+    assert errors[1] < 0.6 * errors[0]
+    one = explain.permutation_attribution(model, few, KEY, FEATURES, learnable.limit(1), draws=1)
+    assert one.count() == 60 and one.where("std_error is not null").count() == 0
+
+
+def test_permutation_of_a_linear_margin(spark):
+    """With one background row the values of an additive model are exact, whatever the orders."""
+    rows = spark.range(30).select("id", (F.col("id") % 5 / 5).alias("a"), (F.col("id") % 7 / 7).alias("b"))
+
+    class Additive:
+        def transform(self, df):
+            p = F.col("a") * 0.5 + F.col("b") * 0.25
+            return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+    got = explain.permutation_vectors(Additive(), rows, "id", ["a", "b"], rows.where("id = 9"), draws=2)
+    for r in got.join(rows, "id").collect():
+        assert r["phi"] == pytest.approx([(r["a"] - 0.8) * 0.5, (r["b"] - 2 / 7) * 0.25])
 
 
 def test_plan_state_and_partial_state(spark, sf, tmp_path):
     fact, identity = view(spark, sf, "txn"), view(spark, sf, "identity")
     out = str(tmp_path / "run")
-    report = train_job(fact, identity, k=2, size="small", base_models=("xgb",), explain_rows=100, output=out)
+    report = train_job(fact, identity, k=2, size="small", base_models=("xgb",), explain_rows=100, keep_attributions=True,
+                       explain_last_fold=True, output=out)
     assert report.attributions.select(KEY).distinct().count() == 100
+    assert report.fold_importance.count() == report.importance.count() == len(report.state.plan.features)
+    assert spark.read.parquet(f"{out}/importance_last_fold").count() == report.importance.count()
     assert report.comparison.count() == 4
     new = fact.drop("isFraud", "addr1")  # an absent column counts as missing
     before = {tuple(r) for r in score_rows(report.state, new, identity).collect()}

@@ -54,7 +54,9 @@ def split_join(df: DataFrame, table: DataFrame, key: str, hot: str) -> DataFrame
     columns = [c for c in table.columns if c not in (key, hot)]
     packed = F.struct(*[F.col(f"`{c}`") for c in columns])
     warm = table.where(F.col(hot)).select(key, packed.alias("_hot"))
-    cold = table.where(~F.coalesce(F.col(hot), F.lit(False))).select(key, packed.alias("_cold"), F.lit(0).alias("_salt"))
+    # zero, but not to the optimiser: it would move a constant out of the join keys, and the salts with it
+    zero = F.pmod(F.hash(F.col(f"`{key}`")), F.lit(1)).alias("_salt")
+    cold = table.where(~F.coalesce(F.col(hot), F.lit(False))).select(key, packed.alias("_cold"), zero)
     settled = F.col("_hot").isNotNull() | F.col(f"`{key}`").isNull()
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int") + 1
     joined = (

@@ -2,10 +2,14 @@
 
 Rows that are equal are first folded into one (with their k+1 lowest ids), so a
 large group of copies costs one row. The distinct rows are cut into blocks of
-bounded size around pivot rows. A block alone gives each row an upper bound on
-its k-th distance; the triangle inequality then names the blocks that can hold
-anything closer, and the row visits only those. Nothing is dropped: a row for
-which no block can be ruled out visits all of them.
+bounded size around pivot rows, whose number grows with the root of theirs. A block
+alone gives each row an upper bound on its k-th distance; the triangle inequality then
+names the blocks that can hold anything closer, and the row visits only those. Nothing
+is dropped: a row for which no block can be ruled out visits all of them.
+
+Where the bound rules out little (many dimensions), ``mode="hashed"`` compares rows that
+share a bucket of Euclidean hash tables instead (Datar et al.): random projections cut
+into stretches. It may miss a neighbour, never names a wrong distance.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from riskloom.operators.lookup import lookup_join
 from riskloom.session import materialise
 
 BLOCK_ROWS = 2_048
-MAX_PIVOTS = 256
+#: Hash tables, projections in each, stretch in typical k-th distances, rows that tell them.
+TABLES, PROJECTIONS, STRETCH, SCALE_ROWS = 20, 8, 4.0, 1_024
 #: Synthetic rows made from one minority row in one go.
 DRAWS = 1_024
 _SLACK = 1e-9
@@ -35,15 +40,34 @@ register_pickle_by_value(sys.modules[__name__])
 
 
 def nearest_neighbors(
-    df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS, seed: int = 42
+    df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS, seed: int = 42, mode: str = "exact"
 ) -> DataFrame:
     """``<key>, rank, neighbor_id, distance, neighbor_vector`` by Euclidean distance.
 
     Ties go to the lower id. ``vector`` is an array column, ``key`` a long.
+    ``mode="hashed"`` looks in hash tables only; a row that meets fewer than ``k`` others
+    there is searched for exactly, so every row has its ``k``.
     """
     points = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     groups = materialise(_distinct_points(points, k))
     n_points = groups.count()
+    if mode == "hashed":
+        near = _hashed_candidates(groups, _stretch(groups, n_points, k, seed), k, block_rows, seed)
+        merged = materialise(_top_by(near, "gid", ["distance", "neighbor_gid"], k))
+        enough = merged.groupBy("gid").count().where(F.col("count") >= min(k, n_points - 1)).select("gid")
+        short = materialise(groups.join(enough, "gid", "left_anti").select("gid", "v"))
+        if not short.isEmpty():
+            found = _exact(groups, n_points, k, block_rows, seed, short)
+            merged = materialise(merged.join(short.select("gid"), "gid", "left_anti").unionByName(found))
+    elif mode == "exact":
+        merged = _exact(groups, n_points, k, block_rows, seed)
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return _expand(points, groups, merged, key, k)
+
+
+def _exact(groups: DataFrame, n_points: int, k: int, block_rows: int, seed: int, asking: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest of every vector, or of those ``asking``."""
     pivots = _pivots(groups, n_points, block_rows, seed)
     placed = materialise(_place(groups, pivots))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")).collect()
@@ -52,10 +76,101 @@ def nearest_neighbors(
 
     block_count = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
     blocked = placed.withColumn("block", F.pmod(F.xxhash64("gid"), block_count[F.col("cell")]).cast("int"))
-    bounded = materialise(_own_block_bounds(blocked, k))
-    nearest = _visit_blocks(bounded, blocked, pivots, radius, blocks, k, block_rows)
-    merged = materialise(_top_by(nearest, "gid", ["distance", "neighbor_gid"], k))
-    return _expand(points, groups, merged, key, k)
+    bounded = _own_block_bounds(blocked, k)
+    if asking is not None:
+        bounded = bounded.join(asking.select("gid"), "gid", "left_semi")
+    nearest = _visit_blocks(materialise(bounded), blocked, pivots, radius, blocks, k, block_rows)
+    return materialise(_top_by(nearest, "gid", ["distance", "neighbor_gid"], k))
+
+
+def _stretch(groups: DataFrame, n_points: int, k: int, seed: int) -> float:
+    """Length of a hash stretch: from the k-th distances within a sample of ``SCALE_ROWS`` rows.
+
+    In d dimensions distances shrink with the d-th root of the number of rows, so the
+    sample's are brought to the table's.
+    """
+
+    def scale(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["v"].to_numpy())
+        d = _distances(v, v)
+        np.fill_diagonal(d, np.inf)
+        kth = np.partition(d, min(k, len(v) - 1) - 1, axis=1)[:, min(k, len(v) - 1) - 1]
+        return pd.DataFrame({"kth": [float(np.median(kth))], "size": [float(v.shape[1])]})
+
+    sample = groups.orderBy(F.xxhash64("gid", F.lit(seed + 1))).limit(SCALE_ROWS)
+    if n_points < 2:
+        return 1.0
+    row = sample.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(scale, "kth double, size double").first()
+    shrunk = (min(n_points, SCALE_ROWS) / n_points) ** (1.0 / max(1.0, row["size"]))
+    return STRETCH * row["kth"] * shrunk or 1.0
+
+
+def _hashed_candidates(groups: DataFrame, stretch: float, k: int, block_rows: int, seed: int) -> DataFrame:
+    """``gid, neighbor_gid, distance, neighbor_vector``: the k nearest within each bucket, once each.
+
+    A bucket over ``block_rows`` rows meets part by part, each part in a task of its own.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            v = np.stack(batch["v"].to_numpy())
+            draw = np.random.default_rng(seed)
+            lines = draw.standard_normal((v.shape[1], TABLES * PROJECTIONS))
+            cut = np.floor((v @ lines) / stretch + draw.random(TABLES * PROJECTIONS)).astype(np.int64)
+            buckets = np.arange(TABLES, dtype=np.uint64)[None].repeat(len(v), axis=0)
+            for part in cut.reshape(len(v), TABLES, PROJECTIONS).transpose(2, 0, 1).view(np.uint64):
+                buckets = (buckets ^ part) * np.uint64(0x9E3779B97F4A7C15)
+                buckets ^= buckets >> np.uint64(29)
+            yield batch[["gid", "v"]].assign(buckets=list(buckets.view(np.int64)))
+
+    placed = groups.select("gid", "v").mapInPandas(hashed, "gid long, v array<double>, buckets array<bigint>")
+    placed = materialise(placed.select("gid", "v", F.explode("buckets").alias("bucket")))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
+    held = placed.join(sizes, "bucket")
+    own = F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asking = held.select("gid", "v", "bucket", own.alias("part"), every.alias("other"))
+    # new names for the same columns, so that both sides can meet
+    again = [F.col(c).alias(c) for c in ("gid", "v", "bucket")]
+    members = held.select(*again, every.alias("part"), own.alias("other"))
+    place = ["bucket", "part", "other"]
+    found = asking.groupBy(*place).cogroup(members.groupBy(*place)).applyInPandas(_search(k), FOUND)
+    best = found.groupBy("gid", "neighbor_gid").agg(F.first("distance").alias("distance"), F.first("neighbor_vector").alias("neighbor_vector"))
+    return best
+
+
+FOUND = "gid long, neighbor_gid long, distance double, neighbor_vector array<double>"
+
+
+def _search(k: int):
+    """The k nearest of each asking row among the rows of one block."""
+
+    def search(ask: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if len(ask) == 0 or len(block) == 0:
+            none, no_vector = np.zeros(0, np.int64), np.zeros(0, object)
+            return pd.DataFrame({"gid": none, "neighbor_gid": none, "distance": none * 1.0, "neighbor_vector": no_vector})
+        gids, own = block["gid"].to_numpy(), ask["gid"].to_numpy()
+        d = _distances(np.stack(ask["v"].to_numpy()), np.stack(block["v"].to_numpy()))
+        row, col, distance = _lowest(d, gids, own, k)
+        return pd.DataFrame(
+            {
+                "gid": own[row],
+                "neighbor_gid": gids[col],
+                "distance": distance,
+                "neighbor_vector": block["v"].to_numpy()[col],
+            }
+        )
+
+    return search
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """``n_exact, recall``: the share of exact neighbours that were found."""
+    hit = exact.join(found.select(key, "neighbor_id", F.lit(1).alias("hit")), [key, "neighbor_id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def _distinct_points(points: DataFrame, k: int) -> DataFrame:
@@ -72,7 +187,7 @@ def _distinct_points(points: DataFrame, k: int) -> DataFrame:
 
 
 def _pivots(groups: DataFrame, n_points: int, block_rows: int, seed: int) -> np.ndarray:
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(n_points / block_rows) * 2))
+    wanted = 1 if n_points <= block_rows else max(2, math.ceil(math.sqrt(n_points) / 4))
     order = F.xxhash64("gid", F.lit(seed))
     return np.array([r["v"] for r in groups.orderBy(order).limit(wanted).select("v").collect()], dtype=float)
 
@@ -166,26 +281,11 @@ def _visit_blocks(bounded, blocked, pivots, radius, blocks, k, block_rows) -> Da
         "gid", "v", "cell", "block", F.explode(F.sequence(F.lit(0), part_count[F.col("cell")] - 1)).alias("part")
     )
 
-    def search(ask: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if len(ask) == 0 or len(block) == 0:
-            return pd.DataFrame({"gid": [], "neighbor_gid": [], "distance": [], "neighbor_vector": []})
-        gids, own = block["gid"].to_numpy(), ask["gid"].to_numpy()
-        d = _distances(np.stack(ask["v"].to_numpy()), np.stack(block["v"].to_numpy()))
-        row, col, distance = _lowest(d, gids, own, k)
-        return pd.DataFrame(
-            {
-                "gid": own[row],
-                "neighbor_gid": gids[col],
-                "distance": distance,
-                "neighbor_vector": block["v"].to_numpy()[col],
-            }
-        )
-
     place = ["cell", "block", "part"]
     return (
         asking.groupBy(*place)
         .cogroup(members.groupBy(*place))
-        .applyInPandas(search, "gid long, neighbor_gid long, distance double, neighbor_vector array<double>")
+        .applyInPandas(_search(k), FOUND)
     )
 
 
@@ -245,6 +345,7 @@ def smote(
     k: int = 5,
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
+    mode: str = "exact",
 ) -> DataFrame:
     """All rows of ``df`` plus synthetic rows of the smaller class up to equal counts.
 
@@ -270,7 +371,7 @@ def smote(
         return original
 
     few = rows.where(F.col(label) == minority).select(key, vector)
-    near = nearest_neighbors(few, key, vector, min(k, n_min - 1), block_rows, seed)
+    near = nearest_neighbors(few, key, vector, min(k, n_min - 1), block_rows, seed, mode)
     lists = near.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "neighbor_vector"))).alias("near")
     )

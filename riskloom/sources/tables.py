@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from riskloom.session import materialise
 
 ROW_ORDER = "_row_order"
-BAD_LINE = "_bad_line"
+BAD_LINE, BAD_FILE = "_bad_line", "_bad_file"
 
 # The string and integer columns of the transaction and identity
 # tables. Every other column of the two tables is a double.
@@ -82,9 +82,10 @@ def read_checked(
 ) -> CheckedRead:
     """Read CSV files; a row with a cell that does not parse, or too many cells, is set aside.
 
-    Every cell is parsed once, whatever columns are used later, and the rejected lines are
-    written with their file, so they can be counted, mended and read again. Rows that
-    parse are those ``read_table`` gives. An empty cell is null, not a fault.
+    Every cell is parsed once, whatever columns are used later: the parsed table is written
+    and both halves are read from it, the rejected lines with their file, so they can be
+    counted, mended and read again. Rows that parse are those ``read_table`` gives. An
+    empty cell is null, not a fault.
     """
     if schema is None:
         first = path if isinstance(path, str) else path[0]
@@ -98,10 +99,10 @@ def read_checked(
         .option("columnNameOfCorruptRecord", BAD_LINE)
         .csv(path)
     )
-    bad = scan.where(F.col(BAD_LINE).isNotNull())
-    everything = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])
-    rejected = bad.select(F.col("_metadata.file_path").alias("file"), F.col(BAD_LINE).alias("line"), everything.alias("_row"))
-    return CheckedRead(scan.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE), materialise(rejected).drop("_row"))
+    parsed = materialise(scan.select("*", F.col("_metadata.file_path").alias(BAD_FILE)))
+    good = parsed.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE, BAD_FILE)
+    bad = parsed.where(F.col(BAD_LINE).isNotNull())
+    return CheckedRead(good, bad.select(F.col(BAD_FILE).alias("file"), F.col(BAD_LINE).alias("line")))
 
 
 def with_file_order(scan: DataFrame) -> DataFrame:

@@ -269,6 +269,23 @@ def test_neighbors_against_brute_force(spark, block_rows):
             assert got[i, rank] == (j, pytest.approx(distance))
 
 
+def test_hashed_neighbors_of_clusters(spark):
+    """64 dimensions, 40 clusters: nearly all neighbours, few visits, k for every row."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 4
+    v = np.vstack([c + rng.normal(size=(50, 64)) * 0.3 for c in centres] + [rng.normal(size=(1, 64)) * 60])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    exact = neighbors.nearest_neighbors(df, "id", "v", 5)
+    found = neighbors.nearest_neighbors(df, "id", "v", 5, mode="hashed", block_rows=30).persist()
+    assert found.count() == 5 * len(v)
+    assert neighbors.recall(found, exact, "id").first()["recall"] >= 0.9
+    groups = df.select(F.col("id").alias("gid"), "v")
+    stretch = neighbors._stretch(groups, len(v), 5, 42)
+    assert 4 * 1.5 < stretch < 4 * 6
+    pairs = neighbors._hashed_candidates(groups, stretch, 400, 2_048, 42).groupBy("gid").count().agg(F.avg("count")).first()[0]
+    assert pairs < 0.1 * len(v)
+
+
 def test_smote_of_two_rows_is_dealt_out(spark):
     rows = spark.range(5_002).select("id", F.array(F.col("id") * 1.0).alias("v"), (F.col("id") < 2).cast("int").alias("isFraud"))
     made = neighbors.smote(rows, "id", "v").where("synthetic = 1").persist()

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.simhash import PARITY_WORDS, parities
 from riskloom.llm.tables import connected, map_rows
 from riskloom.session import materialise
 
@@ -18,8 +19,8 @@ WIDTH, BANDS, BAND_ROWS, HASHES = 4, 51, 5, 256
 #: Minima two signatures may differ in, as seen by two bits of each. Sets of similarity 0.8
 #: differ in 38 of 256 on average, in more than 76 with a probability of about 1e-9.
 MOST_APART = 76
-#: Rounds of links to drawn members before all open pairs; nodes of one side of a task's pairs.
-ROUNDS, CELL = 4, 2048
+#: Rounds of links to one member of each band before all open pairs; nodes of one side of a task's pairs.
+ROUNDS, CELL = 2, 2048
 _DRAW = np.random.default_rng(11)
 FACTOR = _DRAW.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT = _DRAW.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -77,10 +78,10 @@ def apart(x: str, y: str) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``node`` (hash of the set, null if empty), ``n``, ``keys`` and ``sign`` of every row."""
+    """``doc_id``, ``node`` (hash of the set, null if empty), ``n``, ``keys``, ``sign`` and ``odd`` of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, keys, signs = [], [], [], []
+        nodes, sizes, keys, signs, odd = [], [], [], [], []
         for value in batch.column(1):
             held = shingles(value.as_py())
             least = minima(held)
@@ -88,14 +89,15 @@ def sketches(docs: DataFrame) -> DataFrame:
             sizes.append(len(held))
             keys.append(band_keys(least) if len(held) else [])
             signs.append(signature(least))
+            odd.append(parities(held))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(signs, longs)],
-            ["doc_id", "node", "n", "keys", "sign"],
+            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, longs) for x in (keys, signs, odd))],
+            ["doc_id", "node", "n", "keys", "sign", "odd"],
         )
 
     rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    return map_rows(rows, run, "doc_id long, node long, n long, keys array<bigint>, sign array<bigint>")
+    return map_rows(rows, run, "doc_id long, node long, n long, keys array<bigint>, sign array<bigint>, odd array<bigint>")
 
 
 def node_of(held: np.ndarray) -> int:
@@ -148,29 +150,47 @@ def alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def may_be_alike(least: int) -> Column:
-    """What sizes and signatures of ``x`` and ``y`` tell of a pair."""
+    """What sizes, parities and signatures of ``x`` and ``y`` tell of a pair.
+
+    Alike sets have sizes in that ratio and differ in (100 - least) / (100 + least) of both
+    at most, which their parities never exceed: neither rules out an alike pair.
+    """
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (100 * smaller >= least * larger) & (apart("x.sign", "y.sign") <= MOST_APART)
+    odd = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    few = odd * (100 + least) <= (100 - least) * (F.col("x.n") + F.col("y.n"))
+    return (100 * smaller >= least * larger) & few & (apart("x.sign", "y.sign") <= MOST_APART)
+
+
+def central_codes(members: DataFrame) -> DataFrame:
+    """``node`` and a ``code`` that is largest for nodes that meet most others in their bands.
+
+    Edited copies of one text share more bands with it than with each other, so the text
+    is likely to lead them.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    met = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("met"))
+    many = F.least(F.col("met"), F.lit((1 << 30) - 1))
+    return met.select("node", F.shiftleft(many, 33).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 31)).alias("code"))
 
 
-def drawn_pairs(members: DataFrame, traits: DataFrame, draw: int, least: int) -> DataFrame:
-    """For each node the likeliest partner among one member drawn for each of its open keys.
+def led_pairs(members: DataFrame, traits: DataFrame, draw: int, least: int) -> DataFrame:
+    """For each node the likeliest partner among the leaders of its open keys.
 
-    The member drawn is the one nearest to a number by exclusive or, so the aggregate
-    that finds it holds one long a key and is combined before the shuffle.
+    A key is led by its member of largest code in the first round, and of largest hash in
+    the others. The aggregate that finds it holds one long a key and is combined before
+    the shuffle.
     """
-    number = F.xxhash64("key", F.lit(draw))
-    open_keys = members.groupBy("key").agg(
-        F.min(F.col("node").bitwiseXOR(number)).alias("nearest"), F.min("root").alias("low"), F.max("root").alias("high")
-    ).where("low < high")
-    open_keys = open_keys.select("key", F.col("nearest").bitwiseXOR(number).alias("drawn"))
-    pairs = members.join(open_keys, "key").where("node <> drawn").select("node", "drawn").distinct()
-    both = pairs.join(traits.select("node", F.struct("n", "sign", "root").alias("x")), "node")
-    both = both.join(traits.select(F.col("node").alias("drawn"), F.struct("n", "sign", "root").alias("y")), "drawn")
+    code = F.col("code") if draw == 0 else F.xxhash64("node", F.lit(draw))
+    coded = members.select("key", "node", "root", code.alias("code"))
+    open_keys = coded.groupBy("key").agg(F.max("code").alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_keys = open_keys.where("low < high").select("key", "lead")
+    leads = traits.select(code.alias("lead"), F.struct("node", "n", "sign", "odd", "root").alias("y"))
+    pairs = coded.join(open_keys, "key").where("code <> lead").select("node", "lead").distinct()
+    both = pairs.join(traits.select("node", F.struct("n", "sign", "odd", "root").alias("x")), "node").join(leads, "lead")
     both = both.where((F.col("x.root") != F.col("y.root")) & may_be_alike(least))
-    likely = F.min(F.struct(apart("x.sign", "y.sign").alias("apart"), "drawn")).alias("best")
-    best = both.groupBy("node").agg(likely).select("node", F.col("best.drawn").alias("drawn"))
-    return best.select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("b")).distinct()
+    likely = F.min(F.struct(apart("x.sign", "y.sign").alias("apart"), F.col("y.node").alias("lead"))).alias("best")
+    best = both.groupBy("node").agg(likely).select("node", F.col("best.lead").alias("lead"))
+    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
 def open_pairs(members: DataFrame, traits: DataFrame, least: int) -> DataFrame:
@@ -191,7 +211,7 @@ def open_pairs(members: DataFrame, traits: DataFrame, least: int) -> DataFrame:
         finer = crowded.join(others, "node").where("key <> other")
         finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
         held = held.union(finer)
-    held = held.join(traits, "node")
+    held = held.join(traits.drop("code"), "node")
     sizes = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
     sizes = sizes.where("low < high").select("key", F.ceil(F.col("size") / CELL).cast("long").alias("cells"))
     held = materialise(held.join(sizes, "key"))
@@ -216,8 +236,8 @@ def near_duplicates(docs: DataFrame, least: int = 80) -> DataFrame:
     Texts of one set are one node. Nodes meet if they share a band of minima: at a
     similarity of 0.8 they share none with a probability of 1.6e-9. Links that save
     most others come first: in each round every node tries its likeliest partner among
-    members drawn for its bands. Then every pair still in different components is tried
-    whose sizes and signatures allow it. A link counts only if the whole sets agree.
+    the leaders of its bands. Then every pair still in different components is tried whose
+    sizes, parities and signatures allow it. A link counts only if the whole sets agree.
 
     Words are lower-cased in A-Z. Texts without words (null, empty, white space) are
     linked with nothing, each its own group. Null ids name no group: ``component_id`` is
@@ -228,15 +248,17 @@ def near_duplicates(docs: DataFrame, least: int = 80) -> DataFrame:
     marks = materialise(sketches(docs))
     nodes = marks.where("n > 0")
     named = materialise(nodes.groupBy("node").agg(F.min("doc_id").alias("first")))
-    held = materialise(nodes.select("node", "n", "keys", "sign").dropDuplicates(["node"]))
+    held = materialise(nodes.select("node", "n", "keys", "sign", "odd").dropDuplicates(["node"]))
     keyed = held.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     meeting = materialise(keyed.join(shared, "key", "left_semi").select("key", "node"))
     met = meeting.select("node").distinct()
-    held = materialise(held.join(met, "node", "left_semi").select("node", "n", "sign"))
+    held = materialise(held.join(met, "node", "left_semi").select("node", "n", "sign", "odd"))
     if held.isEmpty():
         return _grouped(marks, named.select("node", F.col("first").alias("component_id")))
     sets = materialise(sets_of(docs, held))
+    codes = materialise(central_codes(meeting))
+    held, meeting = materialise(held.join(codes, "node")), materialise(meeting.join(codes, "node"))
     roots = links = None
     for draw in range(ROUNDS + 1):
         if roots is None:
@@ -245,7 +267,7 @@ def near_duplicates(docs: DataFrame, least: int = 80) -> DataFrame:
             traits, members = with_roots(held, roots), with_roots(meeting, roots)
         traits, members = materialise(traits), materialise(members)
         if draw < ROUNDS:
-            pairs = drawn_pairs(members, traits, draw, least)
+            pairs = led_pairs(members, traits, draw, least)
         else:
             pairs = open_pairs(members, traits, least)
         pairs = materialise(pairs)

@@ -50,11 +50,16 @@ def message_lines(messages: DataFrame) -> DataFrame:
         F.coalesce((F.col("role") == "tool") & j["tool_call_id"].isNotNull(), F.lit(False)).alias("result"),
     )
     held = held.where(~F.col("result") & (~F.col("calls") | F.col("content").isNotNull()))
+    return plain_lines(held.withColumn("text", F.when(F.col("calls"), F.col("content")).otherwise(F.col("text"))))
+
+
+def plain_lines(held: DataFrame) -> DataFrame:
+    """A line of its own for every row, with its role, turn and text."""
     none, zero = F.lit(None), F.lit(0).cast("long")
     return held.select(
         "conv_id", none.cast("string").alias("call_id"), "turn", none.cast("long").alias("depth"),
         F.lit("message").alias("status"), zero.alias("n_calls"), zero.alias("n_results"), none.cast("boolean").alias("valid"),
-        canonical(content=F.when(F.col("calls"), F.col("content")).otherwise(F.col("text")), role=F.col("role"), turn=F.col("turn")).alias("line"),
+        canonical(content=F.col("text"), role=F.col("role"), turn=F.col("turn")).alias("line"),
         none.cast("long").alias("use"),
     )
 
@@ -79,7 +84,7 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = user.select(
         "conv_id", "turn", F.col("turn").cast("string").alias("call_id"), F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("text"))).alias("arguments"),
-        (F.col("turn") - 2).cast("string").alias("after"),
+        (F.col("turn") - 2).cast("string").alias("after"), "text",
     )
     results = messages.where("role = 'assistant'").select(
         "conv_id", "turn", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content")
@@ -211,15 +216,31 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[st
     message has the status ``message`` and its role, turn and content in its line.
     """
     calls, results = tool_messages(messages)
-    calls = by_use(calls, "name", "arguments", "after").withColumn("after", F.concat(F.lit("1:"), F.col("after")))
-    rows = depths(link(calls, by_use(results, "content")))
+    linked = uses_as_lines(by_use(calls, "name", "arguments", "after"), by_use(results, "content"), schemas)
+    return linked.unionByName(message_lines(messages))
+
+
+def uses_as_lines(
+    calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
+) -> DataFrame:
+    """Lines of calls and results by ``by_use``, each with its identifier again and its ``use``."""
+    calls = calls.withColumn("after", F.concat(F.lit("1:"), F.col("after")))
+    rows = depths(link(calls, results))
     use = F.regexp_extract("call_id", r"^\d+", 0)
     own = F.when(F.length("call_id") > F.length(use), F.expr("substring(call_id, instr(call_id, ':') + 1)"))
     rows = materialise(rows.withColumns({"use": use.cast("long"), "call_id": own}))
-    linked = as_lines(rows, schemas, "use")
-    return linked.unionByName(message_lines(messages))
+    return as_lines(rows, schemas, "use")
 
 
 def format_turns(messages: DataFrame) -> DataFrame:
-    """Lines of a plain conversation, each user turn linked to its reply."""
-    return format_calls(*turns_as_calls(messages), REPLY)
+    """Lines of a plain conversation: each user turn linked to its reply, and every other message.
+
+    Texts of one turn and role that differ are uses of their own, met by their replies in
+    the order of the texts; equal ones are one, counted. Messages of any other role, null
+    too, have the status ``message``. So ``n_calls``, ``n_results`` and the lines of
+    messages add up to the rows of ``messages``.
+    """
+    calls, results = turns_as_calls(messages)
+    linked = uses_as_lines(by_use(calls, "text").drop("text"), by_use(results, "content"), REPLY)
+    others = messages.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    return linked.unionByName(plain_lines(others))

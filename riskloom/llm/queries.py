@@ -101,31 +101,33 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_chat_format"] = """
-with recursive calls as (
-  select conv_id, turn::varchar as call_id, count(*) as n_calls,
-    min({'turn': turn, 'text': text}) as c
-  from conversations where role = 'user' group by conv_id, turn),
-results as (
-  select conv_id, (turn - 1)::varchar as call_id, count(*) as n_results, min({'turn': turn, 'content': text}) as r
-  from conversations where role = 'assistant' group by conv_id, turn),
+with recursive said as (
+  select conv_id, turn, role, text, case when role = 'user' then turn else turn - 1 end as id from conversations where role in ('user', 'assistant')),
+told as (select conv_id, turn, role, text, id, count(*) as n from said group by all),
+used as (
+  select *, dense_rank() over (partition by conv_id, role, id order by turn, text nulls first) as use from told),
 linked as (
-  select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.call_id, b.call_id) as call_id, c, r,
-    coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results
-  from calls a full join results b on a.conv_id = b.conv_id and a.call_id = b.call_id),
+  select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.id, b.id) as id, coalesce(a.use, b.use) as use,
+    a.turn as call_turn, a.text, b.turn as reply_turn, b.text as reply, coalesce(a.n, 0) as n_calls, coalesce(b.n, 0) as n_results,
+    a.conv_id is not null as asked, b.conv_id is not null as answered
+  from (select * from used where role = 'user') a full join (select * from used where role = 'assistant') b
+    on a.conv_id = b.conv_id and a.id = b.id and a.use = b.use),
 placed as (
-  select l.*, exists (select 1 from linked p where p.conv_id = l.conv_id and l.c is not null and p.call_id = (l.c.turn - 2)::varchar) as has_back
-  from linked l),
+  select l.*, asked and exists (select 1 from linked p where p.conv_id = l.conv_id and p.use = 1 and p.id = l.id - 2) as has_back from linked l),
 chain as (
-  select conv_id, call_id, 0 as depth from placed where not has_back
+  select conv_id, id, use, 0 as depth from placed where not has_back
   union all
-  select p.conv_id, p.call_id, chain.depth + 1 from chain join placed p
-    on p.conv_id = chain.conv_id and p.has_back and (p.c.turn - 2)::varchar = chain.call_id)
-select p.conv_id, p.call_id, coalesce(c.turn, r.turn) as turn, depth::bigint as depth,
-  case when r is null then 'no_result' when c is null then 'no_call' else 'linked' end as status,
-  n_calls, n_results, case when c is not null then c.text is not null end as valid,
-  to_json({'arguments': case when c is not null then {'text': c.text} end, 'call_id': p.call_id, 'depth': depth::bigint,
-    'name': case when c is not null then 'reply' end, 'result': r.content})::varchar as line
-from placed p join chain on chain.conv_id = p.conv_id and chain.call_id = p.call_id
+  select p.conv_id, p.id, p.use, chain.depth + 1 from chain join placed p
+    on p.conv_id = chain.conv_id and p.has_back and chain.use = 1 and p.id - 2 = chain.id)
+select p.conv_id, p.id::varchar as call_id, coalesce(call_turn, reply_turn) as turn, depth::bigint as depth,
+  case when not answered then 'no_result' when not asked then 'no_call' else 'linked' end as status,
+  n_calls, n_results, case when asked then text is not null end as valid,
+  to_json({'arguments': case when asked then {'text': text} end, 'call_id': p.id::varchar, 'depth': depth::bigint,
+    'name': case when asked then 'reply' end, 'result': reply})::varchar as line, p.use::bigint as use
+from placed p join chain on chain.conv_id = p.conv_id and chain.id = p.id and chain.use = p.use
+union all
+select conv_id, null, turn, null, 'message', 0, 0, null, to_json({'content': text, 'role': role, 'turn': turn})::varchar, null
+from conversations where role is null or role not in ('user', 'assistant')
 """
 
 

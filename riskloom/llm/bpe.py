@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import map_rows
+from riskloom.llm.tables import map_rows, plain_names
 
 ROOT = 0
 #: Entries a worker remembers before it starts anew; forgetting costs time, not results.
@@ -337,12 +337,14 @@ class Codec:
 def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``docs`` with its text's token ids as ``ids_column`` (array of int), row by row.
 
-    Null text counts as empty and gives an empty array. Other columns stay; one that
-    is already named ``ids_column`` is replaced. Texts are encoded whole.
+    Null text counts as empty and gives an empty array. Other columns stay, whatever their
+    names; one that is already named ``ids_column`` is replaced. Texts are encoded whole.
     """
-    kept = [c for c in docs.columns if c not in (ids_column,)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias("__text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.array().cast("array<int>").alias(ids_column)).schema
+    plain, named, kept = plain_names(docs, (ids_column,))
+    if text_column == ids_column:
+        raise ValueError("the ids need a column of their own")
+    rows = plain.withColumn("text", F.col(named[text_column]))
+    schema = plain.withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -353,28 +355,32 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
             if ends[-1] >= 1 << 31:
                 raise ValueError("a batch holds over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], [*kept, ids_column])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], schema.names)
 
-    return map_rows(rows, run, schema)
+    return map_rows(rows, run, schema).toDF(*kept, ids_column)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids as ``text_column``; null ids give null."""
-    kept = [c for c in encoded.columns if c != text_column]
-    schema = encoded.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(text_column)).schema
-    schema[text_column].nullable = True
+    """``encoded`` with the text of its ids as ``text_column``; null ids give null.
+
+    Other columns stay, whatever their names; one already named ``text_column`` is replaced.
+    """
+    plain, named, kept = plain_names(encoded, (text_column,))
+    schema = plain.withColumn("text", F.lit("")).schema
+    schema["text"].nullable = True
+    at = kept.index(ids_column)
 
     def run(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for start in range(0, whole.num_rows, ROWS_SENT):
             batch, texts = whole.slice(start, ROWS_SENT), []
-            for row in batch.column(batch.schema.get_field_index(ids_column)):
+            for row in batch.column(at):
                 held = None if not row.is_valid else row.values.to_numpy()
                 if held is None:
                     texts.append(None)
                 else:
                     chunks = (held[i : i + 65536].tolist() for i in range(0, len(held), 65536))
                     texts.append("".join(codec.decode(chunks)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return map_rows(encoded.select(*[F.col(f"`{c}`") for c in kept]), run, schema)
+    return map_rows(plain, run, schema).toDF(*kept, text_column)

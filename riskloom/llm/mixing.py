@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.tables import plain_names
 from riskloom.session import materialise
 
 #: Hex digits of the hash behind each uniform number: 52 bits, exact in a double.
@@ -79,19 +80,22 @@ def mix(
     Returns the columns of ``docs`` and ``__copy`` (from 1) and ``__place`` (a hash
     that orders the result). Rows are dealt to tasks by that hash, not by source, so
     a source with a third of all rows spreads evenly. Size is the text's length
-    plus one, so empty and null texts count too.
+    plus one, so empty and null texts count too. Other columns may have any name; one
+    already named ``__copy`` or ``__place`` is replaced.
     """
-    size = F.coalesce(F.length("text"), F.lit(0)) + 1
-    rates = materialise(poisson_table(source_rates(docs, weights, alpha, epochs, source, size)))
-    keyed = docs.join(rates.withColumnRenamed("source", "__source"), F.col(source).eqNullSafe(F.col("__source")))
-    text_key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    rows, named, columns = plain_names(docs, ("__copy", "__place"))
+    source, text, doc_id = named[source], named["text"], named["doc_id"]
+    size = F.coalesce(F.length(text), F.lit(0)) + 1
+    rates = materialise(poisson_table(source_rates(rows, weights, alpha, epochs, source, size)))
+    keyed = rows.join(rates.withColumnRenamed("source", "__source"), F.col(source).eqNullSafe(F.col("__source")))
+    text_key = F.md5(F.coalesce(F.col(text), F.lit("")))
 
     def drawn(part: Column) -> Column:
         """Copies for one part of the rate: distribution values not above the number."""
-        u = uniform(F.lit(seed), F.col("doc_id"), text_key, part)
+        u = uniform(F.lit(seed), F.col(doc_id), text_key, part)
         return F.size(F.filter("cdf", lambda c: c <= u))
 
     counted = keyed.withColumn("__count", F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), drawn), F.lit(0), lambda a, n: a + n)).where("__count > 0")
-    copied = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("__copy"))
-    placed = copied.withColumn("__place", F.xxhash64(F.lit(seed), "doc_id", "text", "__copy"))
-    return placed.repartition("__place").sortWithinPartitions("__place")
+    copied = counted.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("__copy"))
+    placed = copied.withColumn("__place", F.xxhash64(F.lit(seed), doc_id, text, "__copy"))
+    return placed.repartition("__place").sortWithinPartitions("__place").toDF(*columns, "__copy", "__place")

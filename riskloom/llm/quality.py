@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import map_rows
+from riskloom.llm.tables import map_rows, plain_names
 from riskloom.session import materialise
 
 SYMBOLS, MARKS, DIGITS = b"#*$%&|<>~^=_\\/@+{}[]", b".,;:!?\"'()-", b"0123456789"
@@ -61,10 +61,10 @@ def featured(docs: DataFrame, host: str, path: str) -> DataFrame:
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-        "text",
+        F.col("`doc_id`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"),
+        F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"),
+        F.col("`text`").alias("text"),
     )
     return map_rows(rows, run, "row long, doc_id long, host string, path string, x array<double>")
 
@@ -180,7 +180,7 @@ def classified(rows: DataFrame, labels: DataFrame, most_rows: int, keep_from: fl
 def keep_good(
     docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most_rows: int = 20_000, keep_from: float = 0.5
 ) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns.
+    """The rows of ``docs`` that the classifier keeps, with their columns, whatever their names.
 
     The verdict comes from the row's text, host and path, so the evidence is worked
     out again beside the text instead of moving texts to meet their verdict.
@@ -189,7 +189,7 @@ def keep_good(
     model = fit_evidence(rows, labels, most_rows)
     scored = rows.withColumn("p", sigmoid(model.log_odds(F.col("x"))))
     sites = site_posteriors(scored).select(F.col("host").alias("__host"), F.col("path").alias("__path"), logit(F.col("path_posterior")).alias("__site"))
-    columns = docs.columns
+    held, named, columns = plain_names(docs)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
@@ -198,11 +198,11 @@ def keep_good(
         evidence = x @ np.array(model.weights) + model.intercept - model.prior
         site = batch.column(len(columns)).to_numpy(zero_copy_only=False)
         kept = (1 / (1 + np.exp(-(evidence + site))) >= keep_from) & (x[:, -1] > 0)
-        yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], columns).filter(pa.array(kept))
+        yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], list(named.values())).filter(pa.array(kept))
 
-    joined = docs.join(
+    joined = held.join(
         sites,
-        (F.coalesce(docs[host].cast("string"), F.lit("")) == F.col("__host"))
-        & (F.coalesce(docs[path].cast("string"), F.lit("")) == F.col("__path")),
+        (F.coalesce(F.col(named[host]).cast("string"), F.lit("")) == F.col("__host"))
+        & (F.coalesce(F.col(named[path]).cast("string"), F.lit("")) == F.col("__path")),
     )
-    return map_rows(joined.select(*[docs[c] for c in columns], "__site"), run, docs.schema)
+    return map_rows(joined.select(*held.columns, "__site"), run, held.schema).toDF(*columns)

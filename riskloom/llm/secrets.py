@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import map_rows
+from riskloom.llm.tables import map_rows, plain_names
 from riskloom.session import materialise
 
 # The kinds of span in their order, with their patterns.
@@ -62,10 +62,10 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(owner).cast("string").alias("owner"),
-        F.xxhash64("text").alias("text_hash"),
-        "text",
+        F.col("`doc_id`").cast("long").alias("doc_id"),
+        F.col(f"`{owner}`").cast("string").alias("owner"),
+        F.xxhash64(F.col("`text`")).alias("text_hash"),
+        F.col("`text`").alias("text"),
     )
     return map_rows(rows, run, f"row long, doc_id long, owner string, text_hash long, found {FOUND}")
 
@@ -134,8 +134,8 @@ def secret_report(docs: DataFrame, example_owners: int = 3, owner: str = "source
 def redact(docs: DataFrame, example_owners: int = 3, owner: str = "source", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every live span's text replaced by ``mark``; examples stay.
 
-    All rows and columns are kept, ``n_chars`` (if there) follows the new text.
-    Overlapping spans are replaced as one.
+    All rows and columns are kept, whatever their names; ``n_chars`` (if there) follows the
+    new text. Overlapping spans are replaced as one.
     """
     scanned = materialise(candidates(docs, owner))
     spans = (
@@ -144,9 +144,10 @@ def redact(docs: DataFrame, example_owners: int = 3, owner: str = "source", mark
         .where(F.size("__spans") > 0)
         .dropDuplicates(["doc_id", "text_hash"])
     )
+    rows, named, columns = plain_names(docs)
     s = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans")
-    joined = docs.join(s, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    columns = docs.columns
+    same = F.col(named["doc_id"]).eqNullSafe(F.col("__id")) & (F.xxhash64(named["text"]) == F.col("__hash"))
+    joined = rows.join(s, same, "left")
     at = columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -161,9 +162,10 @@ def redact(docs: DataFrame, example_owners: int = 3, owner: str = "source", mark
                 texts[i] = "".join(out) + texts[i][done:]
         changed = list(batch.columns[: len(columns)])
         changed[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(changed, columns)
+        yield pa.RecordBatch.from_arrays(changed, list(named.values()))
 
-    made = map_rows(joined.select(*[docs[c] for c in columns], "__spans"), run, docs.schema)
+    made = map_rows(joined.select(*rows.columns, "__spans"), run, rows.schema)
     if "n_chars" in columns:
-        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
-    return made
+        length = F.length(named["text"]).cast(docs.schema["n_chars"].dataType)
+        made = made.withColumn(named["n_chars"], length).select(*rows.columns)
+    return made.toDF(*columns)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import connected, map_rows
+from riskloom.llm.tables import connected, map_rows, plain_names
 from riskloom.session import materialise
 
 BITS = 64
@@ -212,34 +212,6 @@ class GrayIndex:
         close = (at != to) & (np.bitwise_count(self.fps[at] ^ self.fps[to]) <= bits)
         return at[close], to[close]
 
-    def across(self, bits: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every pair of one key, ``bits`` or fewer apart, whose labels differ; a part at a time."""
-        spans, top = self._spans(), len(self.levels) - 1
-        bounds = [self._bounds(level, label, spans) for level in range(top + 1)]
-        roots = np.arange(len(self.levels[top][0]))
-        stack = [(top, roots, roots)]
-        while stack:
-            level, a, b = stack.pop()
-            if len(a) > 16384:
-                half = len(a) // 2
-                stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
-                continue
-            low, high = bounds[level]
-            alike = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
-            _, _, conj, disj, _ = self.levels[level]
-            shared = ~(conj ^ disj)[a] & ~(conj ^ disj)[b]
-            look = ~alike & (np.bitwise_count((conj[a] ^ conj[b]) & shared) <= bits)
-            a, b = a[look], b[look]
-            if not len(a):
-                continue
-            if level == 0:
-                yield a, b
-                continue
-            first, size, *_ = self.levels[level]
-            i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
-            ok = (i[None] < size[a][:, None]) & (j[None] < size[b][:, None]) & ((a != b)[:, None] | (i <= j)[None])
-            stack.append((level - 1, (first[a][:, None] + i[None])[ok], (first[b][:, None] + j[None])[ok]))
-
     def _spans(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and one past the last fingerprint below each node, by level."""
         start = np.arange(len(self.fps))
@@ -529,6 +501,8 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     nodes of their own. Ties of id go to the smaller text hash, and of repeated rows one
     stays; null ids are the largest. Documents without a word are copies of each other.
     """
+    every, names, columns = plain_names(docs)
+    docs = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
     marks = materialise(sketches(docs))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = materialise(marks.groupBy("node").agg(F.min(who).alias("who")))
@@ -546,6 +520,6 @@ def near_dedup(docs: DataFrame, bits: int = 16, least: float = 0.8) -> DataFrame
     roots = connected(linked)
     keep = named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     keep = materialise(keep.agg(F.min("who").alias("who")).select(F.struct("who.doc_id", "who.text_hash").alias("__key")))
-    marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
-    stays = marked.join(keep, "__key", "left_semi")
-    return stays.dropDuplicates(["__key"]).select(*docs.columns)
+    key = F.struct(F.col(names["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(names["text"]).alias("text_hash"))
+    stays = every.withColumn("__key", key).join(keep, "__key", "left_semi")
+    return stays.dropDuplicates(["__key"]).select(*every.columns).toDF(*columns)

@@ -15,6 +15,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def plain_names(df: DataFrame, replaced: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``df`` under names that clash with none of the operators' own and hold no dot.
+
+    Returns it, the new name of each column, and the columns in order. Columns named in
+    ``replaced``, which the operator makes itself, are left out.
+    """
+    columns = [c for c in df.columns if c not in set(replaced)]
+    named = {c: f"_column_{i}" for i, c in enumerate(columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), named, columns
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one, null as empty."""
     for value in column:

@@ -212,19 +212,6 @@ def test_parities_rule_no_alike_pair_out():
         assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
 
 
-def test_across_equals_all_pairs():
-    rnd = np.random.default_rng(4)
-    fps = (np.uint64(rnd.integers(0, 2**63)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 400).astype(np.uint64)))
-    index = simhash.GrayIndex(rnd.integers(0, 3, 400), np.unique(fps)[rnd.integers(0, len(np.unique(fps)), 400)])
-    label = rnd.integers(0, 4, 400)
-    found = {tuple(sorted(p)) for at, to in index.across(2, label) for p in zip(at.tolist(), to.tolist())}
-    want = {
-        (i, j) for i in range(400) for j in range(i + 1, 400)
-        if index.keys[i] == index.keys[j] and label[i] != label[j] and int(index.fps[i] ^ index.fps[j]).bit_count() <= 2
-    }
-    assert {p for p in found if p[0] != p[1]} == want
-
-
 def test_rule_counts(docs, empty):
     got = rows_of(rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted(((d, *brute.rule_counts(t)) for d, t in ids_and_texts(docs)), key=repr)
@@ -345,3 +332,36 @@ def test_pipeline_keeps_columns(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*docs.columns, "ids", "n_tokens"] and 0 < out.count() < 2 * docs.count()
     assert len(QUERIES) == 13
+
+
+def test_columns_of_any_name(spark, empty):
+    """Columns named like the operators' own, or with dots, neither crash nor change a result."""
+    texts = ["some words to keep " * 8, "token = abcdef12 " + "words here " * 20, None, "", "some words to keep " * 8]
+    rows = [(i, t, "en", "s", 5) for i, t in enumerate(texts)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["rate", "parts", "cdf", "mean", "__copy", "__spans", "__host", "__text", "__key", "a.b", "row", "found", "ids", "text_hash"]
+    odd = plain.select("*", *[F.lit(1).alias(n) for n in names])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    calls = [
+        lambda d: mixing.mix(d, epochs=2.0), secrets.redact, lambda d: quality.keep_good(d, labels), simhash.near_dedup,
+        lambda d: bpe.encode(d, VOCABULARY, public_tokenizers.PATTERN),
+        lambda d: bpe.decode(bpe.encode(d, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN),
+    ]
+    for call in calls:
+        got, want = call(odd), call(plain)
+        assert [c for c in got.columns if c not in names] == [c for c in want.columns if c not in names]
+        assert "a.b" in got.columns
+        keep = [f"`{c}`" for c in want.columns]
+        assert rows_of(got, *keep) == rows_of(want, *keep)
+    for call in calls:
+        assert call(empty).count() == 0
+
+
+def test_reports_of_no_rows(empty, spark):
+    assert licenses.license_scan(empty).count() == 0
+    assert secrets.secret_report(empty).count() == 0
+    assert simhash.simhash_groups(empty).count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat.format_turns(chats).count() == 0 and chat.format_chat(chats, {}).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(vectors, vectors.select("vec_id")).count() == 0

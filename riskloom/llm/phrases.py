@@ -30,7 +30,7 @@ RANK_PARTS = 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BREAK = b"."
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10)
-ROWS = "lang string, n int, fp long, low long, high long, f long, pointer long"
+ROWS = "lang string, n int, fp long, low int, high int, f long, pointer int"
 
 
 class Hashes(dict):
@@ -94,13 +94,17 @@ class Block:
         self.fresh = np.ones(size, bool)
         for at, old in zip(starts.tolist(), self.old):
             self.fresh[at : at + old] = False
-        self.pointer = np.repeat(np.array(self.pointers, np.int64), self.sizes)
+        self.pointer = np.repeat(np.array(self.pointers, np.int32), self.sizes)
 
     def grams(self, n: int, which: int = 0) -> np.ndarray:
         """Polynomial of the ``n`` words from each position on, from two prefixes of the block."""
         prefix = self.prefix[which]
         return (prefix[n:] - prefix[:-n]) * self.inverse[which][: len(prefix) - n]
 
+    def second(self, n: int) -> np.ndarray:
+        """The upper half of the other polynomial; its words have hashes of their own."""
+        return (self.grams(n, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def counted(self, n: int) -> np.ndarray:
         """Whether the ``n`` words from each position on lie in one piece and end among the fresh ones."""
         return (self.breaks[n:] == self.breaks[:-n]) & self.fresh[n - 1 :]
@@ -149,11 +153,15 @@ def map_of(rows: DataFrame, column: str) -> Broadcast:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """Language, text and pointer of every row; the pointer is a hash that finds the row again."""
+    """Language, text and pointer of every row.
+
+    The pointer is a hash that finds the row again; another row of the same hash is read
+    in vain, and has no words of both fingerprints.
+    """
     return docs.select(
         F.coalesce(F.col("`lang`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("`text`"), F.lit("")).alias("text"),
-        F.xxhash64(F.col("`doc_id`"), F.col("`text`"), F.col("`lang`")).alias("pointer"),
+        F.shiftright(F.xxhash64(F.col("`doc_id`"), F.col("`text`"), F.col("`lang`")), 32).cast("int").alias("pointer"),
     )
 
 
@@ -176,7 +184,8 @@ def counts(
                 for n in lengths:
                     if n == 0:
                         words = int((block.counted(1)).sum())
-                        found = [np.zeros(1, np.int64)] * 3 + [np.array([words]), np.zeros(1, np.int64)]
+                        none = np.zeros(1, np.int32)
+                        found = [np.zeros(1, np.int64), none, none, np.array([words]), none]
                     else:
                         found = gathered(block, n, may, base, mask)
                     size = len(found[0])
@@ -190,22 +199,23 @@ def counts(
 
 
 SCHEMA = pa.schema(
-    [("lang", pa.string()), ("n", pa.int32()), *[(c, pa.int64()) for c in ("fp", "low", "high", "f", "pointer")]]
+    [("lang", pa.string()), ("n", pa.int32()), ("fp", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
+     ("f", pa.int64()), ("pointer", pa.int32())]
 )
 
 
 def gathered(block: Block, n: int, may: np.ndarray | None, base: int, mask: int) -> list[np.ndarray]:
     """Fingerprint, least and largest second one, places and least pointer, by fingerprint."""
     if block.held < n:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)]
     right = block.counted(n)
     if may is not None:
         for j in range(n - base + 1):
             right &= may[j : j + len(right)]
     at = np.flatnonzero(right)
     if not len(at):
-        return [np.zeros(0, np.int64)] * 5
-    fps, second = block.grams(n)[at] & np.uint64(mask), block.grams(n, 1)[at].view(np.int64)
+        return [np.zeros(0, np.int64)]
+    fps, second = block.grams(n)[at] & np.uint64(mask), block.second(n)[at]
     order = np.argsort(fps, kind="stable")
     fps, second, pointer = fps[order], second[order], block.pointer[at[order]]
     starts = np.flatnonzero(np.r_[True, fps[1:] != fps[:-1]])
@@ -224,10 +234,11 @@ def phrases_at(rows: DataFrame, wanted: DataFrame, longest: int, mask: int) -> D
     """
     asked = F.collect_list(F.struct("n", "fp", "f", "low"))
     by_row = materialise(wanted.groupBy("pointer", "lang").agg(asked.alias("asked")))
-    needed = map_of(by_row, "pointer")
+    needed = map_of(by_row.select(F.shiftleft(F.col("pointer").cast("long"), 32).alias("high")), "high")
 
     def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array(marked(batch.column(2).to_numpy().view(np.uint64), needed.value)))
+        high = batch.column(2).to_numpy().astype(np.int64) << 32
+        yield batch.filter(pa.array(marked(high.view(np.uint64), needed.value)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes({BREAK: bytes(16)})
@@ -236,7 +247,7 @@ def phrases_at(rows: DataFrame, wanted: DataFrame, longest: int, mask: int) -> D
                 one = batch.slice(i, 1)
                 yield from read_phrases(one, one.column(3).flatten(), longest, mask, hashes)
 
-    held = map_rows(rows, some, "lang string, text string, pointer long").join(by_row, ["pointer", "lang"])
+    held = map_rows(rows, some, "lang string, text string, pointer int").join(by_row, ["pointer", "lang"])
     held = held.select("lang", "text", "pointer", "asked").mapInArrow(run, "lang string, n int, fp long, f long, phrase string")
     return held.groupBy("lang", "n", "fp", "f").agg(F.min("phrase").alias("phrase"))
 
@@ -260,7 +271,7 @@ def read_phrases(
             if todo and block.held >= n:
                 here = np.flatnonzero(block.counted(n))
                 mine = (block.grams(n)[here] & np.uint64(mask)).view(np.int64)
-                second = block.grams(n, 1)[here].view(np.int64)
+                second = block.second(n)[here]
                 hit = np.isin(mine, np.fromiter(todo, np.int64, len(todo)))
                 for at, fp, low in zip(here[hit].tolist(), mine[hit].tolist(), second[hit].tolist()):
                     if fp in todo and todo[fp][1] == low:

@@ -21,6 +21,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "opaque"]
 LEAST_VALUE = 6
+#: Owners and different texts that make a string an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 4, 10
 #: Method's own kind: a long run of key characters with upper and lower case and digits.
 OPAQUE = re.compile(r"[A-Za-z0-9_-]{20,}")
 
@@ -71,28 +73,34 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """Distinct repositories (documents) and owners of every candidate string.
+    """Distinct repositories (texts of an owner) and owners of every candidate string.
 
-    Copies within one document count once. Counts are made per document, then per
-    owner, then per string, so that a string found everywhere arrives at its last
-    task as one row for each owner and map task. A null owner is an owner of its own.
+    Places within one text count once, and so do copies of the whole text: a copied
+    document says nothing about the string. Counts are made per text, then per owner,
+    then per string, so that a string found everywhere arrives at its last task as one
+    row for each owner and map task. A null owner is an owner of its own.
     """
-    seen = scanned.select(F.explode("found.digest").alias("digest"), "owner", "doc_id").distinct()
+    seen = scanned.select(F.explode("found.digest").alias("digest"), "owner", "text_hash").distinct()
     by_owner = seen.groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def label_spans(scanned: DataFrame, example_owners: int = 3) -> DataFrame:
-    """``row`` and ``spans`` (start, kind, stop, live) of rows with a span.
+def label_spans(
+    scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES
+) -> DataFrame:
+    """``row`` and ``spans`` (start, kind, stop, live, owners, repositories) of rows with a span.
 
-    A string of ``example_owners`` owners or more is a copied example. Fewer make it
-    live. Base spans are kept either way, opaque ones only where they are live.
+    A string is a copied example if it is spread over ``example_owners`` owners or more, or
+    stands in ``example_repositories`` different texts or more, be they one owner's. A
+    string of few owners and few texts is live. Base spans are kept either way, opaque
+    ones only where they are live.
     """
     owned = ownership(scanned)
     each = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = each.join(owned, "digest").withColumn("live", F.col("owners") < example_owners)
-    judged = judged.where((F.col("kind") < 3) | F.col("live"))
-    return judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("spans"))
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    judged = each.join(owned, "digest").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    span = F.struct("start", "kind", "stop", "live", "owners", "repositories")
+    return judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -104,16 +112,23 @@ def as_text(spans: Column) -> Column:
     )
 
 
-def secret_report(docs: DataFrame, example_owners: int = 3, owner: str = "source") -> DataFrame:
+def secret_report(
+    docs: DataFrame,
+    example_owners: int = EXAMPLE_OWNERS,
+    owner: str = "source",
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
     """Spans of every row of ``docs``; a row without any keeps empty strings and zeros.
 
-    Null text counts as empty. Repeated rows are reported once each, and count as one
-    repository if they share ``doc_id``. Columns beyond ``doc_id``, ``text`` and
+    ``spread`` has owners/repositories of each of ``spans``. Null text counts as empty.
+    Repeated rows are reported once each; rows of one owner and text are one repository. Columns beyond ``doc_id``, ``text`` and
     ``owner`` are ignored.
     """
     scanned = materialise(candidates(docs, owner))
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>")
-    all_rows = scanned.join(label_spans(scanned, example_owners), "row", "left").withColumn("spans", F.coalesce("spans", none))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean,owners:bigint,repositories:bigint>>")
+    spans = label_spans(scanned, example_owners, example_repositories)
+    spread = F.transform("spans", lambda s: F.concat_ws("/", s["owners"].cast("string"), s["repositories"].cast("string")))
+    all_rows = scanned.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))
     base = F.filter("found", lambda f: f["kind"] < 3)
 
     def count(kind: int) -> Column:
@@ -126,12 +141,19 @@ def secret_report(docs: DataFrame, example_owners: int = 3, owner: str = "source
         count(2).alias("n_hex"),
         F.sha2(as_text(base), 256).alias("base_sha256"),
         as_text("spans").alias("spans"),
+        F.array_join(spread, ",").alias("spread"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"),
     )
 
 
-def redact(docs: DataFrame, example_owners: int = 3, owner: str = "source", mark: str = "[secret]") -> DataFrame:
+def redact(
+    docs: DataFrame,
+    example_owners: int = EXAMPLE_OWNERS,
+    owner: str = "source",
+    mark: str = "[secret]",
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
     """``docs`` with every live span's text replaced by ``mark``; examples stay.
 
     All rows and columns are kept, whatever their names; ``n_chars`` (if there) follows the
@@ -139,7 +161,7 @@ def redact(docs: DataFrame, example_owners: int = 3, owner: str = "source", mark
     """
     scanned = materialise(candidates(docs, owner))
     spans = (
-        scanned.join(label_spans(scanned, example_owners), "row")
+        scanned.join(label_spans(scanned, example_owners, example_repositories), "row")
         .select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("__spans"))
         .where(F.size("__spans") > 0)
         .dropDuplicates(["doc_id", "text_hash"])

@@ -224,6 +224,31 @@ def test_cascade_order_is_free(docs):
     assert one == rows_of(rules.cascade(measured, tests, list(reversed(tests))), "doc_id", "kept")
 
 
+def test_cascade_of_filters(docs, spark):
+    """The filters keep what the verdicts keep; each works out its own counts only."""
+    kept = rules.kept_by_cascade(docs)
+    assert kept.columns == docs.columns
+    judged = rules.cascade(rules.measures(docs), rules.default_rules(), list(rules.default_rules())).where("kept")
+    assert rows_of(kept, "doc_id") == rows_of(judged, "doc_id")
+    for name, rule in rules.default_rules().items():
+        some = rules.counted(docs, rules.needed(rule))
+        assert some.columns == ["doc_id", *rules.needed(rule)] and some.where(rule).count() == rules.measures(docs).where(rule).count()
+    order = rules.plan_cascade(docs, rules.default_rules())
+    assert sorted(order) == sorted(rules.default_rules())
+
+
+def test_secret_spread(spark):
+    """Copied widely within one source: an example. Found in three sources, a text each: live."""
+    common, own = "AKIA" + "Z" * 16, "AKIA" + "Q" * 16
+    rows = [(i, f"text {i} {common}", "one") for i in range(30)] + [(100 + i, f"mail {i} {own}", f"s{i}") for i in range(3)]
+    rows += [(200 + i, f"a copied text {'AKIA' + 'W' * 16}", "one") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert texts[3] == f"text 3 {common}" and texts[101] == "mail 1 [secret]" and texts[205] == "a copied text [secret]"
+    told = {r.doc_id: (r.spread, r.n_live) for r in secrets.secret_report(table).collect()}
+    assert told[3] == ("1/30", 0) and told[101] == ("3/3", 1) and told[205] == ("1/1", 1)
+
+
 def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
     one = mixing.mix(docs, epochs=30.0)

@@ -16,8 +16,9 @@ from riskloom.session import materialise
 
 #: Neighbours kept for a node, projections that start the graph, rows compared at once.
 NEIGHBOURS, PROJECTIONS, BLOCK = 24, 8, 2048
-#: Proposals a group makes to each member, and rounds of neighbours of neighbours.
-PROPOSALS, DESCENTS = 12, 4
+#: Proposals a group makes to each member; rounds of neighbours of neighbours at most, and the
+#: share by which a round must bring the neighbours nearer for another to follow.
+PROPOSALS, DESCENTS, GAIN = 12, 10, 0.01
 #: Nodes a query keeps, opens in a round, and must have opened at the end; rounds at most.
 BEAM, OPEN, SETTLED, SEARCHES = 96, 48, 32, 6
 LIST = "node long, ids array<bigint>, sims array<float>"
@@ -27,8 +28,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """``vec_id``, ``vector`` (doubles), ``code`` (bytes) and ``copy`` of the rows that take part.
 
     Those are rows with an id and a vector of the commonest length, without nulls or
-    non-finite components, and not zero. ``code`` is the unit vector in signed bytes, for finding
-    candidates only; ``copy`` is the same for exact copies.
+    non-finite components, and not zero. ``code`` is the unit vector in single precision, for
+    finding candidates only; ``copy`` is the same for exact copies.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
     rows = rows.where("vec_id is not null and vector is not null and size(vector) > 0")
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        code = np.rint(127 * x).astype(np.int8)
+        code = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         copies = [md5(np.asarray(v).tobytes()).digest() for v in batch.column(1).to_numpy(zero_copy_only=False)]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(copies, pa.binary())],
@@ -50,8 +51,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def unpack(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a column of codes."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    """Unit vectors of a column of codes, in double precision."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
@@ -88,9 +89,13 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, most: int) -> tuple[list, list, list]:
-    """For each row of ``x``, up to ``most`` of the other rows nearest to it above its floor."""
-    sims = x @ x.T
-    sims[ids[:, None] == ids[None]] = -2
+    """For each row of ``x``, up to ``most`` of the other rows nearest to it above its floor.
+
+    Similarities are cosines less one, worked out in double precision: as numbers near
+    zero they tell near copies apart in single precision too.
+    """
+    sims = x @ x.T - 1
+    sims[ids[:, None] == ids[None]] = -4
     k = min(most, len(ids) - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(sims, top, axis=1)
@@ -146,7 +151,7 @@ def first_graph(nodes: DataFrame, most: int, seed: int = 11) -> DataFrame:
 
     def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = unpack(batch.column(1))
-        plane = np.random.default_rng(seed).standard_normal((PROJECTIONS, x.shape[1], 32)).astype(np.float32)
+        plane = np.random.default_rng(seed).standard_normal((PROJECTIONS, x.shape[1], 32))
         for t in range(PROJECTIONS):
             bits = (x @ plane[t] > 0).astype(np.int64)
             key = (np.int64(t) << 32) | (bits << np.arange(31, -1, -1)).sum(axis=1)
@@ -161,7 +166,7 @@ def first_graph(nodes: DataFrame, most: int, seed: int = 11) -> DataFrame:
         for block in grouped(tabled, BLOCK):
             if len(block) > 1:
                 ids, x = block.column(1).to_numpy(), unpack(block.column(2).combine_chunks())
-                found = best_of(ids, x, np.full(len(ids), -2.0), most)
+                found = best_of(ids, x, np.full(len(ids), -3.0), most)
                 if found[0]:
                     yield lists(*found)
 
@@ -180,7 +185,7 @@ def descend(graph: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     own = graph.join(nodes.select("node", "code"), "node")
     sent = own.select(
         F.explode(F.array_append("ids", F.col("node"))).alias("at"), "node", "code",
-        F.when(F.size("sims") >= most, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("floor"),
+        F.when(F.size("sims") >= most, F.array_min("sims")).otherwise(F.lit(-3.0)).cast("float").alias("floor"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +206,21 @@ def descend(graph: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, most: int = NEIGHBOURS, descents: int = DESCENTS) -> DataFrame:
-    """``node``, ``ids``, ``sims``: the neighbours found for every node, nearest first."""
+    """``node``, ``ids``, ``sims``: the neighbours found for every node, nearest first.
+
+    Rounds go on until one changes little: fewer lists than a hundredth get longer, and the
+    root distances of all neighbours fall by less than ``GAIN`` together.
+    """
+    far = F.aggregate("sims", F.lit(0.0), lambda total, s: total + F.sqrt(F.greatest(-s.cast("double"), F.lit(0.0))))
+    told = [F.sum(F.size("ids")), F.sum(far)]
     graph = materialise(first_graph(nodes, most))
+    links, before = graph.agg(*told).first()
     for _ in range(descents):
         graph = materialise(descend(graph, nodes, most))
+        more, after = graph.agg(*told).first()
+        if not more or (more <= 1.01 * links and after >= (1 - GAIN) * before * more / links):
+            break
+        links, before = more, after
     return graph
 
 
@@ -219,11 +235,11 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
     edges = materialise(edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
     codes = nodes.select("node", "code")
     targets = materialise(queries.join(codes.withColumnRenamed("node", "q"), "q"))
-    pool = materialise(targets.select(F.col("q").alias("node"), F.array("q").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims")))
+    pool = materialise(targets.select(F.col("q").alias("node"), F.array("q").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("sims")))
     opened = None
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sims = np.einsum("ij,ij->i", unpack(batch.column(1)), unpack(batch.column(3)))
+        sims = (np.einsum("ij,ij->i", unpack(batch.column(1)), unpack(batch.column(3))) - 1).astype(np.float32)
         ends = pa.array(np.arange(batch.num_rows + 1), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.ListArray.from_arrays(ends, batch.column(2)), pa.ListArray.from_arrays(ends, pa.array(sims))],

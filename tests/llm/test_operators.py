@@ -340,6 +340,25 @@ def test_neighbours(spark):
     assert ann.nearest(few, few.select("vec_id")).count() == 6
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.003])
+def test_neighbours_of_near_copies(spark, noise):
+    """Far more rows than a block holds, half of them copies of one vector but for a little noise."""
+    rnd = np.random.default_rng(8)
+    one = rnd.standard_normal(64)
+    x = np.vstack([one + noise * rnd.standard_normal((2600, 64)), rnd.standard_normal((2400, 64))]).astype(np.float32)
+    x = x[rnd.permutation(len(x))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, table.where("vec_id % 50 = 0").select("vec_id")).collect()
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), 50):
+        sims = unit @ unit[q]
+        sims[q] = -3
+        hit += len(set(np.argsort(-sims)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * len(got) and len(got) == 500
+
+
 def test_rank_file():
     ranks = bpe.read_ranks(VOCABULARY)
     assert ranks[base64.b64decode(b"IQ==")] == 0

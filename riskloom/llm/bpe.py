@@ -20,8 +20,9 @@ from riskloom.llm.tables import map_rows, plain_names
 
 ROOT = 0
 #: Entries a worker remembers before it starts anew; forgetting costs time, not results.
-#: None holds more than some 300 bytes (words of 64 characters at most), so all stay below 50 MB.
-WORDS_KEPT, PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 150_000, 40_000, 120_000, 150_000
+#: A word or piece (of 64 characters at most) takes some 160 bytes, a state 700, a pair 130: 200 MB
+#: together where all are full, as words are kept in two generations.
+WORDS_KEPT, PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 250_000, 40_000, 100_000, 150_000
 #: Marks that end words, and the first code point after the Latin letters.
 MARKS, LATIN = frozenset(".,;:!?"), chr(0x250)
 #: Rows of a batch encoded or decoded before they are sent on.
@@ -68,22 +69,22 @@ class Transducer:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.spines: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
         self.pairs: dict[int, bool] = {}
-        self.child: dict[int, int] = {}
+        self.children: list[dict[int, int]] = [{}]
         self.token_at = [-1]
-        self.inner = [False]
         for token, rank in ranks.items():
             if len(token) > 1 and self.merged(token) != [rank]:
                 continue  # only ever a piece of its own
             node = ROOT
             for byte in token:
-                self.inner[node] = True
-                at = node << 8 | byte
-                node = self.child.get(at, -1)
+                below = self.children[node]
+                node = below.get(byte, -1)
                 if node < 0:
-                    node = self.child[at] = len(self.token_at)
+                    node = below[byte] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.inner.append(False)
+                    self.children.append({})
             self.token_at[node] = rank
+        none: dict[int, int] = {}
+        self.children = [below or none for below in self.children]
         self.forget()
 
     def forget(self) -> None:
@@ -168,18 +169,22 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, int]:
         """The next state and the last token of the text so far."""
-        child, inner, token_at = self.child, self.inner, self.token_at
+        children, token_at, pairs = self.children, self.token_at, self.pairs
         after, ended = [], -1
         for last, node in state.open:
-            node = child.get(node << 8 | byte, -1)
-            if node < 0:
+            node = children[node].get(byte)
+            if node is None:
                 continue
-            if inner[node]:
+            if children[node]:
                 after.append((last, node))
             if ended < 0:
                 token = token_at[node]
-                if token >= 0 and (last < 0 or self.fits(last, token)):
-                    ended = token
+                if token >= 0:
+                    fits = last < 0 or pairs.get(last << 32 | token)
+                    if fits is None:
+                        fits = self.fits(last, token)
+                    if fits:
+                        ended = token
         if ended < 0:
             raise ValueError("the vocabulary lacks a byte")
         after.append((ended, ROOT))
@@ -258,10 +263,15 @@ class Pieces(dict):
 
 
 class Words(dict):
-    """Packed token ids of a space and the word after it, for the words met so far."""
+    """Packed token ids of a space and the word after it, for the words met so far.
+
+    A full table becomes the one before; words met again move from there to the new one,
+    so frequent words outlive those met once.
+    """
 
     def __init__(self, split: Callable[[str], list[str]], pieces: Pieces):
         self.split, self.pieces = split, pieces
+        self.before: dict[str, bytes] = {}
         letters = "".join(filter(str.isalpha, map(chr, range(ord(LATIN)))))
         marked = [split(f" {c}{mark}") == [f" {c}", mark] for c in letters for mark in MARKS]
         #: The pattern takes a space and Latin letters as one piece, and a mark after them as another.
@@ -271,15 +281,33 @@ class Words(dict):
         pieces = self.pieces
         return b"".join([pieces[piece] for piece in self.split(text)])
 
+    def bare(self, word: str) -> bytes:
+        """Ids of a word with nothing before it."""
+        if self.plain and (word.isascii() or max(word) < LATIN):
+            if word.isalpha():
+                return self.pieces[word]
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.pieces[word[:-1]] + self.pieces[word[-1]]
+        return self.packed(word)
+
     def __missing__(self, word: str) -> bytes:
-        if self.plain and word.isalpha() and max(word) < LATIN:
-            packed = self.pieces.fresh(f" {word}")
-        elif self.plain and word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN:
-            return self[word[:-1]] + self.pieces[word[-1]]
-        else:
-            packed = self.packed(f" {word}")
+        packed = self.before.get(word)
+        if packed is None:
+            if self.plain and (word.isascii() or max(word) < LATIN):
+                if word.isalpha():
+                    packed = self.pieces.fresh(f" {word}")
+                elif word[-1:] in MARKS and word[:-1].isalpha():
+                    return self[word[:-1]] + self.pieces[word[-1]]
+            if packed is None and "\n" in word:
+                # a line end between two other signs is a piece by itself; the next word has no space
+                head, tail = word.rsplit("\n", 1)
+                if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                    return self[head] + self.pieces["\n"] + self.bare(tail)
+            if packed is None:
+                packed = self.packed(f" {word}")
         if len(word) < 64:
-            if len(self) > WORDS_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.before = dict(self)
                 self.clear()
             self[word] = packed
         return packed

@@ -9,12 +9,14 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.catalog.registry import query, rounded, s6
+import riskloom.catalog.evaluation  # noqa: F401 - its report's SQL is used here
+from riskloom.catalog.registry import ORACLE, query, r6, rounded, s6
 from riskloom.operators import explain
 from riskloom.operators.clean import dedup_keep_first
+from riskloom.operators.metrics import classification_report
 from riskloom.operators.reduce import block_from_array
 from riskloom.operators.sampling import sample_rows, stratified_kfold, stratified_split
 from riskloom.plans.features import FeaturePlan, PlanOptions
@@ -25,7 +27,7 @@ from riskloom.session import checkpoint_dir, materialise
 from riskloom.sources import sinks
 from riskloom.sources.fixtures import view
 from riskloom.sources.state import FittedState, load_state, save_state
-from riskloom.sources.tables import read_table
+from riskloom.sources.tables import read_checked, read_table
 from riskloom.streaming.scoring import read_arriving, score_stream
 
 KEY, LABEL, FEATURES = "TransactionID", "isFraud", ["x1", "x2", "x3"]
@@ -430,19 +432,64 @@ for _name, _preset in {
 @query(
     "meta_sink",
     ["scored"],
-    """select cast(TransactionID % 3 as int) as fold, cast(fraud_probability >= 0.5 as int) as model_0_pred, true_label
-       from scored""",
+    f"""with m as (select cast(TransactionID % 3 as int) as fold, true_label, fraud_probability as p from scored)
+       select 'pred' as half, fold, cast(p >= 0.5 as int)::double as model_0, cast(p < 0.5 as int)::double as model_1, true_label from m
+       union all select 'prob', fold, {s6('p', 'model_0')}, {s6('1 - p', 'model_1')}, true_label from m""",
 )
 def meta_sink(spark, sf):
-    """The meta-training tables, written by fold and read back."""
+    """Both meta-training tables, written by fold and read back."""
     p = F.col("fraud_probability")
     meta = view(spark, sf, "scored").select(
         (F.col(KEY) % 3).cast("int").alias("fold"), F.col("true_label").alias(LABEL),
-        p.alias("a_prob"), (p >= 0.5).cast("int").alias("a_pred"),
+        p.alias("a_prob"), (p >= 0.5).cast("int").alias("a_pred"), (1 - p).alias("b_prob"), (p < 0.5).cast("int").alias("b_pred"),
     )
     path = scratch(spark, "meta")
-    sinks.write_meta(meta, ["a"], path)
-    return spark.read.parquet(f"{path}/meta_train_pred")
+    sinks.write_meta(meta, ["a", "b"], path)
+    halves = [
+        spark.read.parquet(f"{path}/meta_train_{half}").select(
+            F.lit(half).alias("half"), "fold", *[r6(F.col(f"model_{i}_{half}"), f"model_{i}") for i in (0, 1)], "true_label"
+        )
+        for half in ("pred", "prob")
+    ]
+    return halves[0].unionByName(halves[1])
+
+
+@query(
+    "single_model_sink",
+    ["scored"],
+    f"""select TransactionID, cast(fraud_probability >= 0.5 as int) as y_pred, {s6('1 - fraud_probability', 'proba_0')},
+        {s6('fraud_probability', 'proba_1')} from scored""",
+)
+def single_model_sink(spark, sf):
+    """The rows of one model with their real ids, written and read back."""
+    p = F.col("fraud_probability")
+    scored = view(spark, sf, "scored").select(
+        KEY, (p >= 0.5).cast("double").alias("prediction"), array_to_vector(F.array(1 - p, p)).alias("probability")
+    )
+    path = scratch(spark, "single")
+    sinks.write_table(sinks.single_model_rows(scored), path)
+    schema = "TransactionID long, y_pred int, proba_0 double, proba_1 double"
+    return rounded(spark.read.schema(schema).option("header", True).csv(path), ["proba_0", "proba_1"])
+
+
+@query(
+    "csv_quarantine",
+    ["txn"],
+    """select count(case when TransactionID % 100 <> 0 then 1 end) as n_rows, count(case when TransactionID % 100 = 0 then 1 end) as n_rejected,
+         round(sum(case when TransactionID % 100 <> 0 then TransactionAmt end), 2) as total,
+         max(case when TransactionID % 100 = 0 then TransactionID || ',n/a,' || card4 end) as last_line from txn""",
+)
+def csv_quarantine(spark, sf):
+    """Rows with a cell that does not parse are set aside as text; the others come out unchanged."""
+    path = scratch(spark, "csv")
+    bad = F.col(KEY) % 100 == 0
+    amount = F.when(bad, "n/a").otherwise(F.col("TransactionAmt").cast("string")).alias("TransactionAmt")
+    sinks.write_table(view(spark, sf, "txn").select(KEY, amount, "card4"), path)
+    read = read_checked(spark, path)
+    good = read.rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("TransactionAmt"), 2).alias("total"))
+    set_aside = read.rejected.agg(F.count(F.lit(1)).alias("n_rejected"), F.max("line").alias("last_line"))
+    both = good.unionByName(set_aside, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query(
@@ -489,18 +536,18 @@ def importance_sink(spark, sf):
 
 @query(
     "report_sink",
-    ["scored"],
-    """select * from (values ('accuracy'), ('0'), ('1'), ('macro avg'), ('weighted avg')) t(class)""",
+    sql=f"""select *, 'given' as model, '{{"threshold": 0.5}}' as params from ({ORACLE["classification_report"]})""",
 )
 def report_sink(spark, sf):
-    """Per-class report as CSV with its parameters as JSON next to it."""
-    from riskloom.operators.metrics import classification_report
-
+    """Per-class report as CSV with its parameters as JSON next to it, both read back."""
     path = scratch(spark, "report")
     scored = view(spark, sf, "scored").withColumn("pred", (F.col("fraud_probability") >= 0.5).cast("int"))
     report = classification_report(scored, "true_label", "pred")
     sinks.write_report(report, sinks.params_row(spark, "given", {"threshold": 0.5}), path)
-    return spark.read.option("header", True).csv(f"{path}/report").select("class")
+    schema = "class string, precision double, recall double, f1_score double, support long"
+    lines = rounded(spark.read.schema(schema).option("header", True).csv(f"{path}/report"), ["precision", "recall", "f1_score"])
+    given = spark.read.schema("model string, params string").json(f"{path}/params").first()
+    return lines.withColumns({"model": F.lit(given["model"]), "params": F.lit(given["params"])})
 
 
 @query(

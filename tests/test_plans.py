@@ -21,7 +21,7 @@ CHEAP = [
     n
     for n in entry.queries()
     if not n.startswith(("train_", "stack_", "score_", "contrast_", "importance_from", "risk_report", "save_and", "tree_",
-                         "permutation", "build_", "smote", "knn", "pca"))
+                         "permutation", "build_", "smote", "knn", "pca", "walk_", "logistic_", "svm_", "network_"))
 ]
 
 

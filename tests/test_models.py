@@ -9,8 +9,9 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, neighbors
+from riskloom.operators import explain, machines, neighbors
 from riskloom.operators.metrics import areas
+from riskloom.operators.sampling import stratified_kfold
 from riskloom.plans import models, stack
 from riskloom.plans.features import FeaturePlan, PlanOptions
 from riskloom.plans.jobs import score_rows, train_job
@@ -34,6 +35,35 @@ def test_learner(learnable, name):
     assert 0.0 <= low <= high <= 1.0
 
 
+def test_machines_reach_the_least_loss_in_few_passes(spark, learnable, monkeypatch):
+    calls, sums = [], machines._sums
+    monkeypatch.setattr(machines, "_sums", lambda *a: calls.append(1) or sums(*a))
+    model = models.train(learnable, "svm", FEATURES, size="short", key=KEY)
+    assert len(calls) < 100
+    folded = stratified_kfold(learnable, KEY, "isFraud", 5).toPandas()
+    for i, machine in enumerate(model.machines):
+        rows = folded[folded.fold != i]
+        x, y = rows[FEATURES].to_numpy(), 2.0 * rows["isFraud"].to_numpy() - 1
+        n = len(rows)
+
+        def loss(w, b):
+            return np.maximum(0, 1 - y * (x @ w + b)).mean() + w @ w / (2 * n)
+
+        w, b = np.array(machine.coefficients), machine.intercept
+        found = loss(w, b)
+        random = np.random.default_rng(i)
+        for size in (1e-3, 1e-2, 0.1, 1.0):
+            for step in random.normal(size=(200, 4)) * size:
+                assert loss(w + step[:3], b + step[3]) > found * (1 - 1e-4)
+
+
+def test_machines_are_kept(spark, learnable, tmp_path):
+    model = models.train(learnable, "svm", FEATURES, size="small", key=KEY)
+    model.save(str(tmp_path / "svm"))
+    loaded = models.load_trained(spark, str(tmp_path / "svm"), "svm", FEATURES, model.params)
+    assert loaded.machines == model.machines
+
+
 def test_full_presets_are_complete():
     assert list(models.build_base_models()) == ["rf", "lgb", "xgb", "catboost"]
     assert list(models.build_meta_models()) == ["meta_pred", "meta_prob"]

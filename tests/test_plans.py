@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -119,3 +120,19 @@ def test_candidates_carry_no_vectors(spark):
     known = {r["gid"]: r["v"] for r in rows.collect()}
     for r in neighbors.nearest_neighbors(rows, "gid", "v", 3, block_rows=16).collect():
         assert r["neighbor_vector"] == known[r["neighbor_id"]]
+
+
+def test_rows_between_the_same_bounds_meet_leaves_once(spark, learnable, monkeypatch):
+    met = []
+    grid = explain._grid_vectors
+
+    def counted(nodes, rows, key, features):
+        met.append(rows.count())
+        return grid(nodes, rows, key, features)
+
+    monkeypatch.setattr(explain, "_grid_vectors", counted)
+    model = train(learnable, "contrast_xgb", ["x1"], size="short", overrides={"maxBins": 8})
+    vectors, base = explain.tree_vectors(model, learnable, "TransactionID", ["x1"])
+    assert met[0] <= 8 < learnable.count() == vectors.count()
+    off = F.abs(vector_to_array("rawPrediction")[1] - F.col("phi")[0] - F.lit(base)) > 1e-9
+    assert model.transform(learnable).join(vectors, "TransactionID").where(off).count() == 0

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from riskloom.catalog import modeling
 from riskloom.catalog.cleaning import joined
 from riskloom.operators import explain, neighbors
 from riskloom.operators.clean import dedup_keep_first, fill_constant
@@ -136,3 +137,22 @@ def test_rows_between_the_same_bounds_meet_leaves_once(spark, learnable, monkeyp
     assert met[0] <= 8 < learnable.count() == vectors.count()
     off = F.abs(vector_to_array("rawPrediction")[1] - F.col("phi")[0] - F.lit(base)) > 1e-9
     assert model.transform(learnable).join(vectors, "TransactionID").where(off).count() == 0
+
+
+def test_plan_is_fitted_on_written_rows(spark, sf, monkeypatch):
+    """F32: not joined and freed of repeats again for every statistic."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(rows, options):
+        seen.append(plan_of(rows))
+        raise Stop
+
+    monkeypatch.setattr(modeling.FeaturePlan, "fit", fit)
+    monkeypatch.setattr(modeling, "_FITTED", {})
+    for run in (modeling.build_features, modeling._state):
+        with pytest.raises(Stop):
+            run(spark, sf)
+    assert len(seen) == 2 and all("Scan parquet" in p and "Join" not in p for p in seen)

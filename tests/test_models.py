@@ -299,6 +299,25 @@ def test_neighbors_against_brute_force(spark, block_rows):
             assert got[i, rank] == (j, pytest.approx(distance))
 
 
+def test_visits_of_a_row_do_not_grow_with_the_table(spark, monkeypatch):
+    kept, write = [], neighbors.materialise
+    monkeypatch.setattr(neighbors, "materialise", lambda df: kept.append(write(df)) or kept[-1])
+    visited = {}
+    for n in (2_000, 24_000):
+        v = np.random.default_rng(7).random((n, 3))
+        v[:, 2] = np.floor(v[:, 2] * 20) / 20
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "id long, v array<double>")
+        near = neighbors.nearest_neighbors(df, "id", "v", 5, block_rows=64).where("id % 200 = 0").collect()
+        for i in range(0, n, 200):
+            d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            found = [r["neighbor_id"] for r in sorted((r for r in near if r["id"] == i), key=lambda r: r["rank"])]
+            assert found == np.lexsort((np.arange(n), d))[:5].tolist()
+        visits = [t for t in kept if "cells" in t.columns][-1]
+        visited[n] = visits.agg(F.avg(F.size("cells"))).first()[0]
+    assert visited[24_000] < 1.5 * visited[2_000] and visited[24_000] < 40
+
+
 def test_hashed_neighbors_of_clusters(spark):
     """64 dimensions, 40 clusters: nearly all neighbours, few visits, k for every row."""
     rng = np.random.default_rng(3)

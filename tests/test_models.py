@@ -212,6 +212,30 @@ def test_permutation_values_add_up(learnable):
     assert one.count() == 60 and one.where("std_error is not null").count() == 0
 
 
+def test_network_draws_are_those_of_its_model(spark, learnable, monkeypatch):
+    """Blocks switched and scored in place give what the model gives for rows taken apart; only its weights are asked."""
+    rows = learnable.where(F.col(KEY) % 5 == 0)
+    model = models.train(rows, "mlp", FEATURES, size="small")
+    asked, ask = [], models.TrainedModel.transform
+    monkeypatch.setattr(models.TrainedModel, "transform", lambda self, df: asked.append(df) or ask(self, df))
+    found = explain.drawn_vectors(model, rows, KEY, FEATURES, rows, draws=3)
+    assert not asked
+    plain = explain.drawn_vectors(model.pipeline, rows, KEY, FEATURES, rows, draws=3)
+    both = found.join(plain.select(KEY, "draw", F.col("phi").alias("other"), F.col("base").alias("b")), [KEY, "draw"]).collect()
+    assert len(both) == 3 * rows.count()
+    for r in both:
+        assert r["phi"] == pytest.approx(r["other"], abs=1e-12) and r["base"] == pytest.approx(r["b"], abs=1e-12)
+    vectors = {r[KEY]: r for r in explain.permutation_vectors(model, rows, KEY, FEATURES, rows, draws=3).collect()}
+    of = {}
+    for r in both:
+        of.setdefault(r[KEY], []).append(r["phi"])
+    for k, phis in of.items():
+        assert vectors[k]["phi"] == pytest.approx(np.mean(phis, axis=0).tolist(), abs=1e-12)
+        assert vectors[k]["std_error"] == pytest.approx((np.std(phis, axis=0, ddof=1) / np.sqrt(3)).tolist(), abs=1e-12)
+    text = explain.permutation_vectors(model, rows, KEY, FEATURES, rows, draws=3)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
+
+
 def test_permutation_of_a_linear_margin(spark):
     """With one background row the values of an additive model are exact, whatever the orders."""
     rows = spark.range(30).select("id", (F.col("id") % 5 / 5).alias("a"), (F.col("id") % 7 / 7).alias("b"))

@@ -70,6 +70,19 @@ def test_full_presets_are_complete():
     assert set(models.FULL) == set(models.SMALL)
 
 
+def test_fits_on_all_rows_run_beside_those_of_the_folds(learnable, monkeypatch):
+    passes, run = [], stack.run_jobs
+    monkeypatch.setattr(stack, "run_jobs", lambda tasks, workers: passes.append(len(tasks)) or run(tasks, workers))
+    result = stack.train_stack(learnable, FEATURES, KEY, "isFraud", k=2, base_models=("log",), size="small")
+    assert passes == [3, 2]  # two folds and all rows, then both metas
+    plain = models.train(learnable, "log", FEATURES, size="small").learner
+    found, last = result.model.base["log"].learner, result.last_fold["log"].learner
+    assert np.allclose(found.coefficients.toArray(), plain.coefficients.toArray(), rtol=1e-6)
+    assert not np.allclose(last.coefficients.toArray(), plain.coefficients.toArray(), rtol=1e-6)
+    kept = stack.train_stack(learnable, FEATURES, KEY, "isFraud", k=2, base_models=("log",), size="small", final="last_fold")
+    assert passes[2:] == [2, 2] and np.allclose(kept.model.base["log"].learner.coefficients.toArray(), last.coefficients.toArray(), rtol=1e-6)
+
+
 def test_out_of_fold(learnable):
     result = stack.train_stack(learnable, FEATURES, k=3, size="small", base_models=("rf", "xgb"))
     meta = result.meta_table

@@ -355,6 +355,17 @@ def test_visits_of_a_row_do_not_grow_with_the_table(spark, monkeypatch):
     assert visited[24_000] < 1.5 * visited[2_000] and visited[24_000] < 40
 
 
+@pytest.mark.parametrize("width", [2, 13])
+def test_cells_travel_without_the_package(spark, monkeypatch, width):
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    rows = spark.range(200).select("id", F.array(*[F.col("id") * (i + 1.0) for i in range(width)]).alias("v"))
+    assert neighbors.nearest_neighbors(rows, "id", "v", 3, block_rows=40).count() == 600
+    assert len(sent) == 2
+    for value in sent:
+        assert all(v is None or type(v) in (int, np.ndarray) for v in value.values())
+
+
 def test_hashed_neighbors_of_clusters(spark):
     """64 dimensions, 40 clusters: nearly all neighbours, few visits, k for every row."""
     rng = np.random.default_rng(3)
